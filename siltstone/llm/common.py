@@ -6,6 +6,7 @@ n-grams and hashes are computed over that buffer at once rather than text by tex
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -135,6 +136,19 @@ def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting is several times as fast here as numpy's hashing."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``ordered``."""
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
     """Uses the cluster's spark.checkpoint.dir; only where it is unset, as in tests, a temporary folder of this machine."""
     sc = spark.sparkContext
@@ -145,8 +159,13 @@ def ensure_checkpoints(spark: SparkSession) -> None:
 
 def settle(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared checkpoint folder and goes on from there: a lost executor costs no recomputation."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoints(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()  # lets Spark's cleaner drop the shuffle files of what is now behind the checkpoint
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, suffix
+from . import neardup, packing, quality, suffix
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_oracle)
 
 
+@query("op3_minhash")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.dedup(table(spark, sf_dir, "documents")).rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op5_suffix_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents"))
