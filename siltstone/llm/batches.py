@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, settle, texts
+from .common import chunks, fixed_plan, partitions, settle, texts
 
 SCHEMA = "batch long, ids array<long>, lengths binary, texts binary, rest binary"
 #: Bytes of text in a batch, about; a longer text is a batch of its own.
@@ -27,7 +27,7 @@ SIZE = 4 << 20
 
 def pack(a: np.ndarray) -> bytes:
     """An array compressed."""
-    return zstandard.compress(np.ascontiguousarray(a).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(a).tobytes(), 3)
 
 
 def unpack(b: bytes, dtype) -> np.ndarray:
@@ -62,7 +62,8 @@ def batched(docs: DataFrame, keep: tuple[str, ...] = (), size: int = SIZE) -> Da
                 number += 1
 
     columns = [F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *keep]
-    return settle(docs.select(*columns).mapInArrow(run, SCHEMA))
+    with fixed_plan(docs.sparkSession):  # dealt by batch, and so read without a shuffle by joins on it
+        return settle(docs.select(*columns).mapInArrow(run, SCHEMA).repartition(partitions(docs.sparkSession), "batch"))
 
 
 def opened(row: dict) -> tuple[list[int | None], np.ndarray, np.ndarray]:

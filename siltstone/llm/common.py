@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -157,17 +159,34 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siltstone-checkpoint-"))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared checkpoint folder and goes on from there: a lost executor costs no recomputation."""
+def settle(df: DataFrame, release: bool = True) -> DataFrame:
+    """Writes the rows to the shared checkpoint folder and goes on from there: a lost executor costs no recomputation.
+
+    With ``release``, Spark is then told to drop the shuffle files of all that is no longer referenced; it would else keep
+    them until the driver's memory happens to be collected, and disk, not memory, is what runs short."""
     spark = df.sparkSession
     ensure_checkpoints(spark)
     out = df.checkpoint(eager=True)
     del df
-    gc.collect()  # lets Spark's cleaner drop the shuffle files of what is now behind the checkpoint
-    spark.sparkContext._jvm.System.gc()
+    if release:
+        gc.collect()
+        time.sleep(1.2)  # the gateway passes on what Python dropped about once a second
+        spark.sparkContext._jvm.System.gc()
     return out
 
 
+@contextmanager
+def fixed_plan(spark: SparkSession) -> Iterator[None]:
+    """Without adaptive planning, a checkpoint remembers how its rows are partitioned."""
+    key = "spark.sql.adaptive.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,14 +23,14 @@ def _small(e: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``edges`` (u, v: long) as (node, component): the smallest node reachable. Loops and nulls are ignored; nodes
     without an edge to another node are not returned."""
-    e = settle(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = settle(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), release=False)
     state = None
     for _ in range(rounds):
         now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if tuple(now) == state or not now.n:
             break
         state = tuple(now)
-        e = settle(_small(_large(e)))
+        e = settle(_small(_large(e)), release=False)
     else:
         raise RuntimeError(f"components: not done after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

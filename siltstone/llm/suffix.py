@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import batches as B
-from .common import BYTE64, U, chunks, mix, partitions, powers, settle
+from .common import BYTE64, U, among, chunks, distinct, mix, partitions, powers, settle
 
 NO_DOC = np.int64(2**63 - 1)
 
@@ -53,7 +53,7 @@ class Settings:
 
 def names(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the keys, and the dense rank of each, from 1."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     s = keys[order]
     rank = np.empty(len(keys), np.int64)
     rank[order] = np.cumsum(np.concatenate([[1], (s[1:] != s[:-1]).astype(np.int64)])) if len(s) else s
@@ -74,7 +74,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     n = len(text)
     s = np.concatenate([text.astype(np.int64), np.zeros(3, np.int64)])
     if n < 3 or depth <= 3:
-        return np.argsort(triples(s, np.arange(n)), kind="stable") if n else np.zeros(0, np.int64)
+        return np.argsort(triples(s, np.arange(n))) if n else np.zeros(0, np.int64)
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # for n = 3k+1 the empty suffix at n ends the first part
     sample = np.concatenate([one, two])
     name = triples(s, sample)
@@ -83,7 +83,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         name = ranks(name, order, -(-depth // 3))
     rank = np.zeros(n + 4, np.int64)
     rank[sample] = name
-    by_rank = sample[np.argsort(name, kind="stable")]
+    by_rank = sample[np.argsort(name)]
     by_rank = by_rank[by_rank < n]
     zero = np.arange(0, n, 3)
     top, wide = int(rank.max()) + 1, int(s.max()) + 1
@@ -95,7 +95,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     if wide * wide * top >= 1 << 62:
         head = names(head)[1]
     head = head * top + rank[both + 2]
-    zero = zero[np.argsort(head[len(b) :], kind="stable")]
+    zero = zero[np.argsort(head[len(b) :])]
     # equal ranks agree in depth symbols but not beyond, so the keys are sorted once more
     before = np.searchsorted(np.sort(s[a] * top + rank[a + 1]), s[zero] * top + rank[zero + 1])
     before += np.searchsorted(np.sort(head[: len(b)]), np.sort(head[len(b) :]))
@@ -211,7 +211,7 @@ def request(shards: int, s: Settings):
     def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.each(arrived):
             _, buf, offsets = B.opened(row)
-            prints = np.unique(fingerprints(buf, offsets, s)[3])
+            prints = distinct(fingerprints(buf, offsets, s)[3])
             shard = (prints % U(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             edge = np.flatnonzero(np.diff(shard[order], prepend=-1))
@@ -262,10 +262,10 @@ def segments(shards: int, s: Settings):
             first = np.unique(prints, return_index=True, return_inverse=True)
             several = np.zeros(len(first[0]), bool)  # in two documents of this batch
             several[first[2][doc[text] != doc[text][first[1]][first[2]]]] = True
-            common = np.frombuffer(b"".join(row["common"] or []), U)
-            often = np.frombuffer(b"".join(row["often"] or []), U)
-            wanted = several | np.isin(first[0], common)
-            hot = np.isin(first[0], often)[first[2]]
+            common = np.sort(np.frombuffer(b"".join(row["common"] or []), U))
+            often = np.sort(np.frombuffer(b"".join(row["often"] or []), U))
+            wanted = several | among(first[0], common)
+            hot = among(first[0], often)[first[2]]
             wanted = wanted[first[2]]
             parts = [cut(tuple(x[wanted & ~hot] for x in runs), 64), cut(tuple(x[wanted & hot] for x in runs), 1)]
             whole = buf.tobytes()
@@ -290,13 +290,13 @@ def segments(shards: int, s: Settings):
             back = np.empty(len(order), np.int64)
             back[order] = np.arange(len(order))
             text, start, count = (np.concatenate([a, b]) for a, b in zip(parts[0][:3], parts[1][:3], strict=True))
-            own = B.pack(np.stack([text, start, count, back[np.array(place)]]))
+            own = B.pack(np.stack([text, start, count, back[np.array(place)]]).astype(np.int32))
             size = np.array([len(x) for x in every])[order]
             edge = np.flatnonzero(np.diff(shard[order], prepend=-1))
             out: list[list] = [[], [], [], [], [], [], []]
             for a, b in zip(edge, [*edge[1:], len(order)], strict=True):
                 k = order[a:b]
-                cells = (row["batch"], int(shard[k[0]]), B.pack(size[a:b].astype(np.uint32)), B.pack(least[k]), B.pack(key[k]), zstd(b"".join(every[x] for x in k)), own if a == 0 else None)
+                cells = (row["batch"], int(shard[k[0]]), B.pack(size[a:b].astype(np.uint32)), B.pack(least[k]), B.pack((key[k] // U(shards)).astype(np.uint32)), zstd(b"".join(every[x] for x in k)), own if a == 0 else None)
                 for column, value in zip(out, cells, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:2]), *(pa.array(c, pa.binary()) for c in out[2:])], SEGMENTS.replace(",", "").split()[::2])
@@ -304,6 +304,17 @@ def segments(shards: int, s: Settings):
     return run
 
 
+def repeats(x: np.ndarray) -> bytes:
+    """Run lengths and values: neighbouring strings mostly have the same smallest document."""
+    edge = np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])), len(x))
+    return B.pack(np.concatenate([np.diff(edge), x[edge[:-1]]]))
+
+
+def repeated(b: bytes) -> np.ndarray:
+    n, x = B.unpack(b, np.int64).reshape(2, -1)
+    return np.repeat(x, n)
+
+
 def hash_bytes(b: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(b, digest_size=6).digest(), "little")
 
@@ -319,7 +330,7 @@ def compare(s: Settings, block: int = 1 << 19):
         known: dict[bytes, int] = {}
         least, prints, rows = [], [], []
         for k in range(t.num_rows):
-            sizes, docs, keys = (B.unpack(t.column(c)[k].as_py(), d) for c, d in (("sizes", np.uint32), ("docs", np.int64), ("prints", U)))
+            sizes, docs, keys = (B.unpack(t.column(c)[k].as_py(), d) for c, d in (("sizes", np.uint32), ("docs", np.int64), ("prints", np.uint32)))
             data = B.unpack(t.column("bytes")[k].as_py(), np.uint8).tobytes()
             own, at = np.empty(len(sizes), np.int64), 0
             for j, (n, d, f) in enumerate(zip(sizes.tolist(), docs.tolist(), keys.tolist(), strict=True)):
@@ -334,24 +345,23 @@ def compare(s: Settings, block: int = 1 << 19):
                     least[i] = d
                 own[j] = i
             rows.append(own)
-        every, least, prints = list(known), np.array(least, np.int64), np.array(prints, U)
+        every, least, prints = list(known), np.array(least, np.int64), np.array(prints)
         del known
-        order = np.argsort(prints, kind="stable")
-        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(every)
-        size = np.cumsum(np.array([len(every[k]) for k in order]))
-        edge = np.flatnonzero(np.diff(prints[order], prepend=prints[order[0]] + U(1)))  # strings of one fingerprint stay together
+        _, inverse, n = np.unique(prints, return_inverse=True, return_counts=True)
+        rivals = n[inverse] > 1  # else no other segment can have one of the segment's strings
+        found = [None if r else np.full(len(b) - s.length + 1, d) for b, d, r in zip(every, least.tolist(), rivals.tolist(), strict=True)]
+        order = np.flatnonzero(rivals)
+        order = order[np.argsort(prints[order])]
+        size = np.cumsum([0, *(len(every[k]) for k in order.tolist())])
+        edge = np.append(np.flatnonzero(np.diff(inverse[order], prepend=-1)), len(order))  # strings of one fingerprint stay together
         a = 0
         while a < len(order):
-            target = (size[a - 1] if a else 0) + block
-            after = edge[np.searchsorted(edge, np.searchsorted(size, target, "right"), "right") - 1]
-            b = int(after) if after > a else int(np.append(edge, len(order))[np.searchsorted(edge, a, "right")])
-            if size[-1] <= target:
-                b = len(order)
+            b = int(edge[np.searchsorted(edge, a, "right") :][np.searchsorted(size[edge[np.searchsorted(edge, a, "right") :]], size[a] + block, "left")]) if size[-1] > size[a] + block else len(order)
             k = order[a:b]
-            for i, x in zip(k, smallest_documents([every[i] for i in k], least[k], s.length), strict=True):
+            for i, x in zip(k.tolist(), smallest_documents([every[i] for i in k.tolist()], least[k], s.length), strict=True):
                 found[i] = x
             a = b
-        out = [B.pack(np.concatenate([found[i] for i in own])) for own in rows]
+        out = [repeats(np.concatenate([found[i] for i in own])) for own in rows]
         return pa.table([t.column("batch"), t.column("shard"), pa.array(out, pa.binary())], ["batch", "shard", "least"])
 
     return run
@@ -365,9 +375,9 @@ def remove(s: Settings, texts_too: bool, rest: pa.Schema | None):
             ids, buf, offsets = B.opened(row)
             mark = np.zeros(len(buf) + 1, np.int32)
             if row["runs"] is not None:
-                text, start, count, segment = B.unpack(row["runs"], np.int64).reshape(4, -1)
+                text, start, count, segment = B.unpack(row["runs"], np.int32).astype(np.int64).reshape(4, -1)
                 size = np.concatenate([B.unpack(x["sizes"], np.uint32) for x in row["parts"]]).astype(np.int64) - s.length + 1
-                least = np.concatenate([B.unpack(x["least"], np.int64) for x in row["parts"]])
+                least = np.concatenate([repeated(x["least"]) for x in row["parts"]])
                 begin = (np.cumsum(size) - size)[segment]
                 k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 own = np.array([-(2**63) if x is None else x for x in ids], np.int64)
@@ -407,7 +417,7 @@ def dedup(docs: DataFrame, s: Settings = Settings(), texts_too: bool = False, ke
     kept_text, and the columns ``keep``, which must have other names than these."""
     corpus = B.batched(docs, keep)
     shards = B.shards(corpus, 2 * s.shard)
-    parts = max(partitions(docs.sparkSession), min(shards, 4096))
+    parts = partitions(docs.sparkSession)
     requests = corpus.mapInArrow(request(shards, s), REQUEST).repartition(parts, "shard")
     answers = requests.groupBy("shard").applyInArrow(answer(s), ANSWER).groupBy("batch").agg(F.collect_list("common").alias("common"), F.collect_list("often").alias("often"))
     found = settle(corpus.select("batch", "ids", "lengths", "texts").join(answers, "batch", "left").mapInArrow(segments(shards, s), SEGMENTS))
