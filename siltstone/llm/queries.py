@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup, packing, pii, quality, suffix
+from . import bpe, hmm, neardup, packing, pii, quality, suffix
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_oracle)
 
 
+@query("op1_hmm")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), fold("doc_id", 5) == 1)
+
+
 @query("op2_bpe")
 def op2(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     import public_tokenizers
