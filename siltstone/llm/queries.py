@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, neardup, packing, pii, quality, suffix, topk
+from . import bpe, chat, hmm, neardup, packing, pii, quality, suffix, topk, vecdup
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,26 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.dedup(table(spark, sf_dir, "documents")).rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+OP4_SQL = """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, count(*) AS n,
+         string_agg('<|im_start|>' || CASE role WHEN '' THEN 'unknown' ELSE role END || chr(10) || text || '<|im_end|>' || chr(10),
+                    '' ORDER BY turn NULLS FIRST, role, text) AS text
+  FROM t GROUP BY conv_id),
+d AS (SELECT min(conv_id) AS conv_id, n, count(*) AS copies, text FROM c GROUP BY n, text)
+SELECT conv_id, n AS n_turns, copies AS n_copies, text
+FROM d WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.n > d.n AND starts_with(b.text, d.text))
+"""
+
+
+@query("op4_chat", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
 @query("op5_suffix_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents"))
@@ -94,6 +114,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+@query("op9_vector_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
