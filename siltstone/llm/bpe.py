@@ -6,7 +6,7 @@ if every two neighbours are what merging their joint bytes gives. ``Prefixes`` k
 bytes can be appended exactly, at the cost of the new bytes, and an edit is re-encoded from its place until the tokens
 agree with the old ones for the length of the longest token. ``Encoding`` does the same for whole texts, piece by piece.
 
-Encoding a table is one pass without a shuffle. The ranks are broadcast (a vocabulary, 50 thousand entries); each task
+Encoding a table is one pass without a shuffle. The ranks are broadcast (a vocabulary, 50 thousand entries); each worker
 remembers the encodings of the pieces it met, in two generations of bounded size.
 
 Nulls and edges: a null text is empty and has no tokens; repeated rows, null ids and further columns pass through; an
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pieces, and pairs of tokens, that one generation of a task's memory holds.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -58,26 +58,57 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
+        #: Every token's id, and -1 for what is only a token's beginning.
+        self.trie = {k[:n]: -1 for k in ranks for n in range(1, len(k))} | ranks
         self.fits = Remembered(self._fits)
 
     def merge(self, data: bytes) -> list[int]:
         """The merges themselves, lowest rank first, leftmost in a tie; only for the few bytes of two tokens."""
-        parts = [data[k : k + 1] for k in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, 0
-            for k in range(len(parts) - 1):
-                r = self.ranks.get(parts[k] + parts[k + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, k
-            if best is None:
+        get, none = self.ranks.get, 1 << 62
+        cuts = list(range(len(data) + 1))
+        ranks = [get(data[k : k + 2], none) for k in range(len(data) - 1)]  # of the part from each cut to the next but one
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+            k = ranks.index(best)
+            del cuts[k + 1], ranks[k]
+            if k < len(ranks):
+                ranks[k] = get(data[cuts[k] : cuts[k + 2]], none)
+            if k:
+                ranks[k - 1] = get(data[cuts[k - 1] : cuts[k + 1]], none)
+        return [get(data[a:b]) for a, b in zip(cuts, cuts[1:])]
 
     def _fits(self, pair: tuple[int, int]) -> bool:
         """Whether the two tokens are what their joint bytes encode to."""
         return self.merge(self.bytes[pair[0]] + self.bytes[pair[1]]) == [*pair]
 
+    def last_tokens(self, data: bytes) -> list[int]:
+        """The table of ``Prefixes`` for a whole piece: from each prefix on, the tokens that may follow it."""
+        n, follow, fits = len(data), self.trie.get, self.fits
+        last = [-1] * (n + 1)
+        for j in range(n):
+            p = last[j]
+            for e in range(j + 1, n + 1):
+                t = follow(data[j:e])
+                if t is None:
+                    break
+                if t >= 0 and last[e] < 0 and (not j or fits[p, t]):
+                    last[e] = t
+        return last
+
+    def encode(self, data: bytes) -> list[int]:
+        """A piece's tokens. A piece that is a token is that token."""
+        whole = self.ranks.get(data)
+        return [whole] if whole is not None else self.walk(data, self.last_tokens(data))
+
+    def walk(self, data: bytes, last: list[int]) -> list[int]:
+        out, i, size = [], len(data), self.bytes
+        while i:
+            out.append(last[i])
+            i -= len(size[last[i]])
+        return out[::-1]
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -86,8 +117,7 @@ class Prefixes:
     """A piece's bytes, and for each non-empty prefix the last token of its encoding."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.v, self.data, self.last = vocabulary, b"", [-1]
-        self.append(data)
+        self.v, self.data, self.last = vocabulary, data, vocabulary.last_tokens(data)
 
     def _at(self, i: int) -> int:
         ranks, fits, data, last = self.v.ranks, self.v.fits, self.data, self.last
@@ -95,7 +125,7 @@ class Prefixes:
             t = ranks.get(data[j:i])
             if t is not None and (j == 0 or fits[last[j], t]):
                 return t
-        raise ValueError("a byte is not in the vocabulary")
+        raise ValueError("no token ends this prefix")
 
     def append(self, data: bytes) -> None:
         done = len(self.data)
@@ -120,13 +150,8 @@ class Prefixes:
         return len(self.data) - start
 
     def tokens(self) -> list[int]:
-        out, i = [], len(self.data)
-        if self.data in self.v.ranks:  # a piece that is a token is that token
-            return [self.v.ranks[self.data]]
-        while i:
-            out.append(self.last[i])
-            i -= len(self.v.bytes[self.last[i]])
-        return out[::-1]
+        whole = self.v.ranks.get(self.data)
+        return [whole] if whole is not None else self.v.walk(self.data, self.last)
 
 
 class Encoding:
@@ -142,7 +167,7 @@ class Encoding:
         self.ids = [self._piece(p) for p in self.pieces]
 
     def _piece(self, piece: str) -> list[int]:
-        return Prefixes(self.v, piece.encode()).tokens()
+        return self.v.encode(piece.encode())
 
     def append(self, text: str) -> None:
         self.edit(len(self.text), len(self.text), text)
@@ -175,15 +200,29 @@ class Encoding:
         return list(chain.from_iterable(self.ids))
 
 
+class _Worker:
+    """What a Python worker keeps from task to task: the vocabulary, and the pieces it has met."""
+
+    key, vocabulary, known = None, None, None
+
+    @classmethod
+    def of(cls, key: str, ranks) -> tuple[Vocabulary, Remembered]:
+        if cls.key != key:
+            v = Vocabulary(ranks())
+            cls.key, cls.vocabulary, cls.known = key, v, Remembered(lambda p: tuple(v.encode(p.encode())))
+        return cls.vocabulary, cls.known
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids_too: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of ``docs`` and, of its text, n_tokens, ids_sha256, decoded_sha256 and with ``ids_too`` the ids."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    key = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
     names = [f"_k{n}" for n in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, split = Vocabulary(shared.value), regex.compile(pattern).findall
+        v, known = _Worker.of(key, lambda: shared.value)
+        split = regex.compile(pattern).findall
         texts = {k: str(k) for k in v.bytes}
-        known = Remembered(lambda p: tuple(Prefixes(v, p.encode()).tokens()))
         for b in batches:
             n, sha, back, every = [], [], [], []
             for text in b.column("_text"):

@@ -61,6 +61,9 @@ def test_appends_and_edits(ranks, library):
         p = bpe.Prefixes(v, data)
         p.edit(300, 305, b"xyzzy")
         assert p.last == bpe.Prefixes(v, data[:300] + b"xyzzy" + data[305:]).last
+        grown = bpe.Prefixes(v, data[:7])
+        grown.append(data[7:])
+        assert grown.last == bpe.Prefixes(v, data).last
         p.append(b"tail")
         assert p.last == bpe.Prefixes(v, data[:300] + b"xyzzy" + data[305:] + b"tail").last
 
