@@ -9,8 +9,16 @@ from .strings import Str, col
 
 
 def path(*keys: str | int) -> str:
-    """A JSON path; any key may be used."""
-    return "$" + "".join(f"[{k}]" if isinstance(k, int) else "['" + k.replace("\\", "\\\\").replace("'", "\\'") + "']" for k in keys)
+    """A JSON path; a key may hold anything but both kinds of quotes."""
+
+    def part(k: str | int) -> str:
+        if isinstance(k, int):
+            return f"[{k}]"
+        if "'" in k and '"' in k:
+            raise ValueError(f"JSON key with both kinds of quotes: {k!r}")
+        return f'["{k}"]' if "'" in k else f"['{k}']"
+
+    return "$" + "".join(map(part, keys))
 
 
 def get_text(j: Str, *keys: str | int) -> Column:

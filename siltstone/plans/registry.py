@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries when imported.
-MODULES = ("tpch",)
+MODULES = ("tpch", "relational", "aggregates", "scalars", "tables")
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracle: dict[str, str] = {}
