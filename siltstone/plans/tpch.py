@@ -9,13 +9,15 @@ PARTSUPP = """partsupp AS (
   SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, sum(l_quantity) AS ps_availqty,
          round(avg(l_extendedprice / l_quantity), 2) AS ps_supplycost
   FROM {lineitem} GROUP BY l_partkey, l_suppkey)"""
-REVENUE = "l_extendedprice * (1 - l_discount)"
+#: Money has four exact decimals here; added as decimals, sums do not depend on the order of rows.
+REVENUE = "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))"
 
 both(
     "tpch_q1",
-    """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-       round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
-       round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge,
+    """SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS DOUBLE) AS sum_qty,
+       CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS DOUBLE) AS sum_base_price,
+       CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS sum_disc_price,
+       CAST(sum(CAST(l_extendedprice * (1 - l_discount) * (1 + l_tax) AS DECIMAL(18,6))) AS DOUBLE) AS sum_charge,
        round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 6) AS avg_disc,
        count(*) AS count_order
 FROM {lineitem} WHERE l_shipdate <= TIMESTAMP '2001-08-01 00:00:00'
@@ -36,7 +38,7 @@ ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""",
 )
 both(
     "tpch_q3",
-    f"""SELECT l_orderkey, round(sum({REVENUE}), 2) AS revenue, o_orderdate
+    f"""SELECT l_orderkey, CAST(sum({REVENUE}) AS DOUBLE) AS revenue, o_orderdate
 FROM {{customer}} JOIN {{orders}} ON c_custkey = o_custkey JOIN {{lineitem}} ON l_orderkey = o_orderkey
 WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15 00:00:00' AND l_shipdate > TIMESTAMP '1998-03-15 00:00:00'
 GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""",
@@ -50,7 +52,7 @@ GROUP BY o_orderpriority ORDER BY o_orderpriority""",
 )
 both(
     "tpch_q5",
-    f"""SELECT n_name, round(sum({REVENUE}), 2) AS revenue
+    f"""SELECT n_name, CAST(sum({REVENUE}) AS DOUBLE) AS revenue
 FROM {{customer}} JOIN {{orders}} ON c_custkey = o_custkey JOIN {{lineitem}} ON l_orderkey = o_orderkey
 JOIN {{supplier}} ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN {{nation}} ON s_nationkey = n_nationkey
 JOIN {{region}} ON n_regionkey = r_regionkey
@@ -59,13 +61,13 @@ GROUP BY n_name ORDER BY revenue DESC""",
 )
 both(
     "tpch_q6",
-    """SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM {lineitem}
+    """SELECT CAST(sum(CAST(l_extendedprice * l_discount AS DECIMAL(18,4))) AS DOUBLE) AS revenue FROM {lineitem}
 WHERE l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1997-01-01 00:00:00'
   AND l_discount BETWEEN 0.045 AND 0.075 AND l_quantity < 24""",
 )
 both(
     "tpch_q7",
-    f"""SELECT supp_nation, cust_nation, l_year, round(sum(volume), 2) AS revenue FROM (
+    f"""SELECT supp_nation, cust_nation, l_year, CAST(sum(volume) AS DOUBLE) AS revenue FROM (
   SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(extract(year FROM l_shipdate) AS BIGINT) AS l_year, {REVENUE} AS volume
   FROM {{supplier}} JOIN {{lineitem}} ON s_suppkey = l_suppkey JOIN {{orders}} ON o_orderkey = l_orderkey
   JOIN {{customer}} ON c_custkey = o_custkey JOIN {{nation}} n1 ON s_nationkey = n1.n_nationkey JOIN {{nation}} n2 ON c_nationkey = n2.n_nationkey
@@ -75,7 +77,7 @@ GROUP BY supp_nation, cust_nation, l_year ORDER BY supp_nation, cust_nation, l_y
 )
 both(
     "tpch_q8",
-    f"""SELECT o_year, round(sum(CASE WHEN nation = 'NATION_3' THEN volume ELSE 0 END) / sum(volume), 6) AS mkt_share FROM (
+    f"""SELECT o_year, round(CAST(sum(CASE WHEN nation = 'NATION_3' THEN volume ELSE 0 END) AS DOUBLE) / CAST(sum(volume) AS DOUBLE), 6) AS mkt_share FROM (
   SELECT CAST(extract(year FROM o_orderdate) AS BIGINT) AS o_year, {REVENUE} AS volume, n2.n_name AS nation
   FROM {{part}} JOIN {{lineitem}} ON p_partkey = l_partkey JOIN {{supplier}} ON s_suppkey = l_suppkey
   JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey
@@ -85,7 +87,7 @@ GROUP BY o_year ORDER BY o_year""",
 )
 both(
     "tpch_q9",
-    f"""SELECT nation, o_year, round(sum(amount), 2) AS sum_profit FROM (
+    f"""SELECT nation, o_year, CAST(sum(amount) AS DOUBLE) AS sum_profit FROM (
   SELECT n_name AS nation, CAST(extract(year FROM o_orderdate) AS BIGINT) AS o_year, {REVENUE} AS amount
   FROM {{part}} JOIN {{lineitem}} ON p_partkey = l_partkey JOIN {{supplier}} ON s_suppkey = l_suppkey
   JOIN {{orders}} ON o_orderkey = l_orderkey JOIN {{nation}} ON s_nationkey = n_nationkey
@@ -94,7 +96,7 @@ GROUP BY nation, o_year ORDER BY nation, o_year DESC""",
 )
 both(
     "tpch_q10",
-    f"""SELECT c_custkey, c_name, round(sum({REVENUE}), 2) AS revenue, c_acctbal, n_name
+    f"""SELECT c_custkey, c_name, CAST(sum({REVENUE}) AS DOUBLE) AS revenue, c_acctbal, n_name
 FROM {{customer}} JOIN {{orders}} ON c_custkey = o_custkey JOIN {{lineitem}} ON l_orderkey = o_orderkey JOIN {{nation}} ON c_nationkey = n_nationkey
 WHERE o_orderdate >= TIMESTAMP '1997-10-01 00:00:00' AND o_orderdate < TIMESTAMP '1998-01-01 00:00:00' AND l_returnflag = 'R'
 GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""",
@@ -125,14 +127,14 @@ GROUP BY c_count ORDER BY custdist DESC, c_count DESC""",
 )
 both(
     "tpch_q14",
-    f"""SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN {REVENUE} ELSE 0 END) / sum({REVENUE}), 6) AS promo_revenue
+    f"""SELECT round(CAST(100 AS DOUBLE) * CAST(sum(CASE WHEN p_type LIKE 'PROMO%' THEN {REVENUE} ELSE 0 END) AS DOUBLE) / CAST(sum({REVENUE}) AS DOUBLE), 6) AS promo_revenue
 FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey
 WHERE l_shipdate >= TIMESTAMP '1997-09-01 00:00:00' AND l_shipdate < TIMESTAMP '1997-10-01 00:00:00'""",
 )
 both(
     "tpch_q15",
     f"""WITH revenue AS (
-  SELECT l_suppkey AS supplier_no, round(sum({REVENUE}), 2) AS total_revenue FROM {{lineitem}}
+  SELECT l_suppkey AS supplier_no, CAST(sum({REVENUE}) AS DOUBLE) AS total_revenue FROM {{lineitem}}
   WHERE l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1996-04-01 00:00:00' GROUP BY l_suppkey)
 SELECT s_suppkey, s_name, total_revenue FROM {{supplier}} JOIN revenue ON s_suppkey = supplier_no
 WHERE total_revenue = (SELECT max(total_revenue) FROM revenue) ORDER BY s_suppkey""",
@@ -148,7 +150,7 @@ GROUP BY p_brand, p_type, p_size ORDER BY supplier_cnt DESC, p_brand, p_type, p_
 )
 both(
     "tpch_q17",
-    """SELECT round(sum(l_extendedprice) / 7.0, 4) AS avg_yearly FROM {lineitem} JOIN {part} ON p_partkey = l_partkey
+    """SELECT round(CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS DOUBLE) / 7.0, 4) AS avg_yearly FROM {lineitem} JOIN {part} ON p_partkey = l_partkey
 WHERE p_brand = 'Brand#23' AND l_quantity < (SELECT 0.2 * avg(i.l_quantity) FROM {lineitem} i WHERE i.l_partkey = p_partkey)""",
 )
 both(
@@ -160,7 +162,7 @@ GROUP BY c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice ORDER BY o_tot
 )
 both(
     "tpch_q19",
-    f"""SELECT round(sum({REVENUE}), 2) AS revenue FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey
+    f"""SELECT CAST(sum({REVENUE}) AS DOUBLE) AS revenue FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey
 WHERE (p_brand = 'Brand#12' AND l_quantity BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 15)
    OR (p_brand = 'Brand#23' AND l_quantity BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 30)
    OR (p_brand = 'Brand#4' AND l_quantity BETWEEN 20 AND 30 AND p_size BETWEEN 1 AND 45)""",
@@ -186,7 +188,7 @@ GROUP BY s_name ORDER BY numwait DESC, s_name LIMIT 100""",
 )
 both(
     "tpch_q22",
-    """SELECT c_nationkey, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM {customer}
+    """SELECT c_nationkey, count(*) AS numcust, CAST(sum(CAST(c_acctbal AS DECIMAL(15,2))) AS DOUBLE) AS totacctbal FROM {customer}
 WHERE c_nationkey IN (13, 1, 23, 9, 3, 18, 17)
   AND c_acctbal > (SELECT avg(c_acctbal) FROM {customer} WHERE c_acctbal > 0 AND c_nationkey IN (13, 1, 23, 9, 3, 18, 17))
   AND NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')
