@@ -62,7 +62,7 @@ def p27(spark, sf_dir):
 both("j01_inner", "SELECT o_orderkey, c_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE c_nationkey = 7")
 both("j02_left", "SELECT c_custkey, o_orderkey FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey AND o_totalprice > 300000")
 both("j03_right", "SELECT c_custkey, o_orderkey FROM (SELECT * FROM {orders} WHERE o_totalprice > 300000) o RIGHT JOIN {customer} ON c_custkey = o_custkey")
-both("j04_full", "SELECT s.s_suppkey AS s, c.c_custkey AS c FROM (SELECT * FROM {supplier} WHERE s_acctbal > 0) s FULL JOIN (SELECT * FROM {customer} WHERE c_acctbal < 5000 AND c_custkey < 200) c ON s.s_suppkey = c.c_custkey")
+both("j04_full", "SELECT s.s_suppkey AS s, c.c_custkey AS c FROM (SELECT * FROM {supplier} WHERE s_acctbal > 0) s FULL JOIN (SELECT * FROM {customer} WHERE c_acctbal < 5000 AND c_mktsegment = 'BUILDING') c ON s.s_suppkey = c.c_custkey")
 
 
 @query("j05_semi", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
