@@ -364,7 +364,10 @@ def add_masses(t: pa.Table) -> pa.Table:
 
 def _sample(corpus: DataFrame, top: np.ndarray, s: Settings) -> list[np.ndarray]:
     """Training sequences for the first guess, ``sample`` tokens at most, from the batches with the smallest hashes."""
-    rows = corpus.select("batch", "held", "sizes", "words", "classes", "tokens").orderBy(F.xxhash64("batch")).limit(4).collect()
+    # the numbers first: only four batches, not four of each partition, are sent to the driver
+    chosen = [r.batch for r in corpus.select("batch").orderBy(F.xxhash64("batch"), "batch").limit(4).collect()]
+    rows = corpus.select("batch", "held", "sizes", "words", "classes", "tokens").where(F.col("batch").isin(chosen)).collect() if chosen else []
+    rows.sort(key=lambda r: r.batch)
     out = []
     for row in rows:
         own = training(row.asDict(), top, s)
