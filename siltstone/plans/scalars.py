@@ -176,3 +176,37 @@ def k09_tuple(spark, sf_dir):
 
 
 both("u03_table_function", "SELECT n FROM (SELECT explode(sequence(1, 50)) AS n)", "SELECT CAST(n AS INTEGER) AS n FROM range(1, 51) t(n)")
+
+
+def refused(attempts: dict) -> list[tuple[str]]:
+    """The names of the attempts that raise a ValueError."""
+    out = []
+    for name_, attempt in attempts.items():
+        try:
+            attempt()
+        except ValueError:
+            out.append((name_,))
+    return out
+
+
+@query("d10_refused_fields", "SELECT * FROM (VALUES ('century'), ('microseconds'), ('timezone')) t(field)")
+def d10(spark, sf_dir):
+    return spark.createDataFrame(refused({f: (lambda f=f: D.date_part(f, "ts")) for f in ("century", "microseconds", "timezone", "Hour")}), "field string")
+
+
+@query("d19_refused_formats", "SELECT * FROM (VALUES ('Month'), ('Y'), ('DDth'), ('FMDD'), ('am'), ('IW'), ('MS'), ('TZ')) t(format)")
+def d19(spark, sf_dir):
+    return spark.createDataFrame(refused({f: (lambda f=f: D.to_char("ts", f)) for f in ("Month", "Y", "DDth", "FMDD", "am", "IW", "MS", "TZ", "YYYY")}), "format string")
+
+
+@query("m10_refused_values", "SELECT * FROM (VALUES ('asin'), ('acos'), ('acosh'), ('atanh')) t(name)")
+def m10(spark, sf_dir):
+    from pyspark.errors import PySparkException
+
+    out = []
+    for name_, f, x in (("asin", M.asin, 2.0), ("acos", M.acos, -2.0), ("acosh", M.acosh, 0.5), ("atanh", M.atanh, 3.0), ("asin", M.asin, 0.5)):
+        try:
+            spark.range(1).select(f(lit(x))).collect()
+        except PySparkException:
+            out.append((name_,))
+    return spark.createDataFrame(out, "name string")
