@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import neardup, packing, pii, quality, suffix
-from siltstone.llm.common import ensure_checkpoints, table
+from siltstone.llm.common import ensure_checkpoints, importable, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,6 +27,7 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects. It learns from all labelled documents among its input."""
+    importable(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     rows = quality.score(docs, model, keep=tuple(COLUMNS))
     return _columns(rows.where(F.col("quality_score") >= model.settings.threshold))
@@ -34,6 +35,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies, the one with the smallest id."""
+    importable(spark)
     docs = docs.select(*COLUMNS)
     result = neardup.dedup(docs, keep=("doc_id", "lang", "source", "n_chars"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -42,6 +44,7 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that a document with a smaller id has too; documents of which nothing is left go."""
+    importable(spark)
     rows = suffix.dedup(docs, texts_too=True, keep=("lang", "source"))
     gone = (F.col("n_removed") > 0) & (F.trim("kept_text") == "")
     return _columns(rows.where(~gone).withColumnRenamed("kept_text", "text"))
@@ -54,6 +57,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences."""
+    importable(spark)
     return packing.pack(docs)
 
 

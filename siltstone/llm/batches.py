@@ -5,6 +5,8 @@ batch sends one packed request to each shard and gets one packed answer from it.
 fingerprints then travel as rows of their own, a key that is frequent in the corpus is one entry a batch, and the batch
 number names a row of the input even where ids are null or repeated. The batches are written once, so an answer always
 meets the batch that asked, whatever executor is lost meanwhile.
+
+Spark takes a row with compressed bytes for a small one, so joins of such rows carry a hint against broadcasting them.
 """
 
 from __future__ import annotations
@@ -63,7 +65,7 @@ def batched(docs: DataFrame, keep: tuple[str, ...] = (), size: int = SIZE) -> Da
 
     columns = [F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *keep]
     with fixed_plan(docs.sparkSession):  # dealt by batch, and so read without a shuffle by joins on it
-        return settle(docs.select(*columns).mapInArrow(run, SCHEMA).repartition(partitions(docs.sparkSession), "batch"))
+        return settle(docs.select(*columns).mapInArrow(run, SCHEMA).repartition(partitions(docs.sparkSession), "batch"), release=True)
 
 
 def opened(row: dict) -> tuple[list[int | None], np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ n-grams and hashes are computed over that buffer at once rather than text by tex
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import time
 from collections.abc import Iterator
@@ -151,6 +152,15 @@ def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, if it is not installed for them."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
     """Uses the cluster's spark.checkpoint.dir; only where it is unset, as in tests, a temporary folder of this machine."""
     sc = spark.sparkContext
@@ -159,10 +169,10 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siltstone-checkpoint-"))
 
 
-def settle(df: DataFrame, release: bool = True) -> DataFrame:
+def settle(df: DataFrame, release: bool = False) -> DataFrame:
     """Writes the rows to the shared checkpoint folder and goes on from there: a lost executor costs no recomputation.
 
-    With ``release``, Spark is then told to drop the shuffle files of all that is no longer referenced; it would else keep
+    With ``release``, for steps behind large shuffles, Spark is then told to drop the shuffle files of all that is no longer referenced; it would else keep
     them until the driver's memory happens to be collected, and disk, not memory, is what runs short."""
     spark = df.sparkSession
     ensure_checkpoints(spark)

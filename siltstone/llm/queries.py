@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, hmm, neardup, packing, pii, quality, suffix, topk, vecdup
-from .common import fold, table
+from .common import fold, importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -17,7 +18,12 @@ _oracle: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(f: Query) -> Query:
-        _queries[name] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
+            return f(spark, sf_dir)
+
+        _queries[name] = run
         if sql:
             _oracle[name] = sql
         return f
