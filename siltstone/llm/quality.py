@@ -29,7 +29,7 @@ from .common import ODD, SPACE, Words, chunks, mix, texts
 @dataclass(frozen=True)
 class Settings:
     #: Labelled rows learned from at most; a fixed bound, whatever the corpus.
-    sample: int = 6000
+    sample: int = 4000
     bits: int = 18
     dim: int = 8
     grams: tuple[int, ...] = (3, 4)
@@ -93,7 +93,7 @@ def bags(values: list[str], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
     for i in range(len(values)):
         f, _ = features(buf, offsets, i, i + 1, s)
         ids, n = np.unique(np.concatenate(f), return_counts=True)
-        out.append((ids.astype(np.int64), (n / max(1, n.sum())).astype(np.float32)))
+        out.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     return out
 
 
@@ -148,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, s: Sett
     order = F.xxhash64("doc_id")
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(order, "doc_id").limit(s.sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    rows = sorted(rows.orderBy(order, "doc_id", "text").limit(s.sample).collect(), key=lambda r: (r.doc_id, r.text))
+    rows = rows.orderBy(order, "doc_id", "text").limit(s.sample).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.text))
     return train([r.text for r in rows], [r.quality for r in rows], s)
 
 
