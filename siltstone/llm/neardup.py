@@ -110,13 +110,14 @@ def fetch(s: Settings):
     def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.each(arrived):
             _, buf, offsets = B.opened(row)
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], [], []]
             for w in row["wanted"]:
                 k = w["idx"]
                 own = next(sets(buf[offsets[k] : offsets[k + 1]], offsets[k : k + 2] - offsets[k], s.size))
-                for column, value in zip(out, (w["cls"], w["cluster"], own.tobytes()), strict=True):
+                for column, value in zip(out, (w["cls"], w["cluster"], w["blocks"], w["block"], own.tobytes()), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["cls", "cluster", "hashes"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["cls", "cluster", "blocks", "block", "hashes"])
 
     return run
 
@@ -159,7 +160,7 @@ def stars(linked: np.ndarray, cls: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def compare(s: Settings):
-    """Edges among the sets of a block; ``role``: 0 of the block, 1 a guest. Guests are compared with members, and with each other."""
+    """Edges among the sets of a block and its guests."""
 
     def run(t: pa.Table) -> pa.Table:
         cls = t.column("cls").to_numpy()
@@ -185,28 +186,30 @@ def clusters(reps: DataFrame) -> DataFrame:
 
 def confirmed(corpus: DataFrame, reps: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
     """The components by confirmed links of the classes in ``found`` (cls, cluster), as (node, component)."""
-    wanted = reps.join(found, "cls").groupBy("at.batch").agg(F.collect_list(F.struct(F.col("at.idx").alias("idx"), "cls", "cluster")).alias("wanted"))
-    own = settle(corpus.select("batch", "ids", "lengths", "texts").join(wanted, "batch").mapInArrow(fetch(s), "cls long, cluster long, hashes binary"))
     # blocks of a cluster, and the classes that all of them share; a cluster's first classes by a hash are as good as any
-    blocks = own.groupBy("cluster").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
-    members = own.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("blocks")).cast("int"))
+    sizes = found.groupBy("cluster").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
+    placed = found.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("blocks")).cast("int"))
+    wanted = reps.join(placed, "cls").groupBy("at.batch").agg(F.collect_list(F.struct(F.col("at.idx").alias("idx"), "cls", "cluster", "blocks", "block")).alias("wanted"))
+    members = settle(corpus.select("batch", "ids", "lengths", "texts").join(wanted.hint("merge"), "batch").mapInArrow(fetch(s), "cls long, cluster long, blocks int, block int, hashes binary"), release=True)
     large = members.where("blocks > 1")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     share = (F.lit(4 * s.pivots) / (F.col("blocks") * s.block)) * F.lit(2.0**31)
-    pivots = large.where(F.pmod(F.xxhash64("cls", F.lit(8)), F.lit(2**31)) < share).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pivots = large.where(F.pmod(F.xxhash64("cls", F.lit(8)), F.lit(2**31)) < share).withColumn("block", every("blocks"))
     columns = ("cls", "cluster", "block", "hashes")
     meet = members.select(*columns).union(pivots.select(*columns))
     edges = settle(meet.groupBy("cluster", "block").applyInArrow(compare(s), "u long, v long"))
     part = components(edges)
     if not large.limit(1).count():
         return part
+    # what is known of a cluster is joined by cluster and block, so that no task gets all of a large one
     part = settle(part)
-    sized = large.join(part, large.cls == part.node, "left").select("cls", "cluster", "blocks", "block", "hashes", F.coalesce("component", "cls").alias("part"))
-    main = sized.groupBy("cluster", "part").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("top")).select("cluster", F.col("top.part").alias("main"))
-    strays = sized.join(main, "cluster").where("part != main")
-    count = strays.groupBy("cluster").agg(F.ceil(F.count("*") / s.block).cast("int").alias("chunks"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    guests = strays.join(count, "cluster").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(9)), F.col("chunks")).cast("int")).withColumn("block", every("blocks"))
-    hosts = sized.join(count, "cluster").withColumn("chunk", every("chunks"))
+    sized = large.join(part.hint("merge"), large.cls == part.node, "left").select("cls", "cluster", "blocks", "block", "hashes", F.coalesce("component", "cls").alias("part"))
+    main = sized.groupBy("cluster", "part").agg(F.count("*").alias("n"), F.max("blocks").alias("blocks")).groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("top"), F.max("blocks").alias("blocks"))
+    main = main.select("cluster", F.col("top.part").alias("main"), every("blocks").alias("block"))
+    strays = sized.join(main.hint("merge"), ["cluster", "block"]).where("part != main")
+    count = strays.groupBy("cluster").agg(F.ceil(F.count("*") / s.block).cast("int").alias("chunks"), F.max("blocks").alias("n")).select("cluster", "chunks", every("n").alias("block"))
+    guests = strays.join(count.hint("merge"), ["cluster", "block"]).withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(9)), F.col("chunks")).cast("int")).withColumn("block", every("blocks"))
+    hosts = sized.join(count.hint("merge"), ["cluster", "block"]).withColumn("chunk", every("chunks"))
     columns = ("cls", "cluster", "block", "chunk", "hashes")
     more = guests.select(*columns).union(hosts.select(*columns)).groupBy("cluster", "block", "chunk").applyInArrow(compare(s), "u long, v long")
     return components(edges.union(settle(more)))
@@ -262,4 +265,4 @@ def survivors(result: Result, schema: str, columns: list[str]) -> DataFrame:
             text = pa.array([buf[offsets[k] : offsets[k + 1]].tobytes().decode() for k in at.to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([text if c == "text" else rest.column(c) for c in columns], columns)
 
-    return result.corpus.join(keep, "batch").mapInArrow(run, schema)
+    return result.corpus.join(keep.hint("merge"), "batch").mapInArrow(run, schema)
