@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hmm, neardup, packing, pii, quality, suffix, topk, vecdup
+from . import bpe, chat, hmm, neardup, oracles, packing, pii, quality, suffix, topk, vecdup
 from .common import fold, importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,53 +52,22 @@ def op2(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> Data
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-@query("op3_minhash")
+@query("op3_minhash", oracles.NEARDUP)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.dedup(table(spark, sf_dir, "documents")).rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-OP4_SQL = """
-WITH t AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
-  FROM conversations WHERE conv_id IS NOT NULL),
-c AS (
-  SELECT conv_id, count(*) AS n,
-         string_agg('<|im_start|>' || CASE role WHEN '' THEN 'unknown' ELSE role END || chr(10) || text || '<|im_end|>' || chr(10),
-                    '' ORDER BY turn NULLS FIRST, role, text) AS text
-  FROM t GROUP BY conv_id),
-d AS (SELECT min(conv_id) AS conv_id, n, count(*) AS copies, text FROM c GROUP BY n, text)
-SELECT conv_id, n AS n_turns, copies AS n_copies, text
-FROM d WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.n > d.n AND starts_with(b.text, d.text))
-"""
-
-
-@query("op4_chat", OP4_SQL)
+@query("op4_chat", oracles.CHAT)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(table(spark, sf_dir, "conversations"))
 
 
-@query("op5_suffix_dedup")
+@query("op5_suffix_dedup", oracles.PASSAGES)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents"))
 
 
-OP6_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
-         list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
-  WHERE a.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
-SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE n <= 20
-"""
-
-
-@query("op6_topk", OP6_SQL)
+@query("op6_topk", oracles.TOPK)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -120,7 +89,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-@query("op9_vector_dedup")
+@query("op9_vector_dedup", oracles.VECTORS)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdup.dedup(table(spark, sf_dir, "embeddings"))
 
