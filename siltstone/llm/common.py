@@ -180,8 +180,9 @@ def settle(df: DataFrame, release: bool = False) -> DataFrame:
     del df
     if release:
         gc.collect()
-        time.sleep(1.2)  # the gateway passes on what Python dropped about once a second
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the gateway passes on what Python dropped about once a second
+            time.sleep(1.1)
+            spark.sparkContext._jvm.System.gc()
     return out
 
 

@@ -412,19 +412,24 @@ def remove(s: Settings, texts_too: bool, rest: pa.Schema | None):
     return run
 
 
+def _candidates(corpus: DataFrame, shards: int, parts: int, s: Settings) -> DataFrame:
+    """Each batch's segments whose strings other documents may have, for each shard."""
+    requests = corpus.mapInArrow(request(shards, s), REQUEST).repartition(parts, "shard")
+    answers = requests.groupBy("shard").applyInArrow(answer(s), ANSWER).groupBy("batch").agg(F.collect_list("common").alias("common"), F.collect_list("often").alias("often"))
+    return corpus.select("batch", "ids", "lengths", "texts").join(answers.hint("merge"), "batch", "left").mapInArrow(segments(shards, s), SEGMENTS)
+
+
 def dedup(docs: DataFrame, s: Settings = Settings(), texts_too: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Of each row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, with ``texts_too`` the
     kept_text, and the columns ``keep``, which must have other names than these."""
     corpus = B.batched(docs, keep)
     shards = B.shards(corpus, 2 * s.shard)
     parts = partitions(docs.sparkSession)
-    requests = corpus.mapInArrow(request(shards, s), REQUEST).repartition(parts, "shard")
-    answers = requests.groupBy("shard").applyInArrow(answer(s), ANSWER).groupBy("batch").agg(F.collect_list("common").alias("common"), F.collect_list("often").alias("often"))
-    found = settle(corpus.select("batch", "ids", "lengths", "texts").join(answers, "batch", "left").mapInArrow(segments(shards, s), SEGMENTS))
+    found = settle(_candidates(corpus, shards, parts, s), release=True)
     least = found.drop("runs").repartition(parts, "shard").groupBy("shard").applyInArrow(compare(s), LEAST)
     per_batch = (
         found.select("batch", "shard", "sizes", "runs")
-        .join(least, ["batch", "shard"])
+        .join(least.hint("merge"), ["batch", "shard"])
         .groupBy("batch")
         .agg(F.max("runs").alias("runs"), F.sort_array(F.collect_list(F.struct("shard", "sizes", "least"))).alias("parts"))
     )
@@ -433,4 +438,4 @@ def dedup(docs: DataFrame, s: Settings = Settings(), texts_too: bool = False, ke
     if keep:
         rest = True
         schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return corpus.join(per_batch, "batch", "left").mapInArrow(remove(s, texts_too, rest), schema)
+    return corpus.join(per_batch.hint("merge"), "batch", "left").mapInArrow(remove(s, texts_too, rest), schema)
