@@ -172,17 +172,20 @@ def ensure_checkpoints(spark: SparkSession) -> None:
 def settle(df: DataFrame, release: bool = False) -> DataFrame:
     """Writes the rows to the shared checkpoint folder and goes on from there: a lost executor costs no recomputation.
 
-    With ``release``, for steps behind large shuffles, Spark is then told to drop the shuffle files of all that is no longer referenced; it would else keep
-    them until the driver's memory happens to be collected, and disk, not memory, is what runs short."""
+    The driver's JVM is asked to collect its garbage, which many small plans would else let grow to the limit. With
+    ``release``, for steps behind large shuffles, it is done so that Spark also drops the shuffle files of all that is no
+    longer referenced; they would else stay, and disk, not memory, is what runs short."""
     spark = df.sparkSession
     ensure_checkpoints(spark)
     out = df.checkpoint(eager=True)
     del df
+    system = spark.sparkContext._jvm.System
     if release:
         gc.collect()
-        for _ in range(2):  # the gateway passes on what Python dropped about once a second
-            time.sleep(1.1)
-            spark.sparkContext._jvm.System.gc()
+        time.sleep(1.1)  # the gateway passes on what Python dropped about once a second
+        system.gc()
+        time.sleep(1.1)
+    system.gc()
     return out
 
 
