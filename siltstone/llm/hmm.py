@@ -332,12 +332,13 @@ def score(docs: DataFrame, held_out: Column, s: Settings = Settings()) -> DataFr
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held"))
     with fixed_plan(spark):
-        corpus = settle(source.mapInArrow(tokenised(s), TOKENS).repartition(partitions(spark), "batch"))
+        corpus = settle(source.mapInArrow(tokenised(s), TOKENS).repartition(partitions(spark), "batch"), release=True)
     size = corpus.select(F.sum(F.octet_length("tokens") + F.octet_length("words"))).first()[0] or 0
     shards = max(1, -(-2 * size // s.shard))
-    counted = settle(corpus.select("batch", "words", "counts", "classes").mapInArrow(ask(shards), "shard long, batch long, words binary, counts binary, classes binary").groupBy("shard").applyInArrow(count(s), COUNTED))
+    counted = settle(corpus.select("batch", "words", "counts", "classes").mapInArrow(ask(shards), "shard long, batch long, words binary, counts binary, classes binary").groupBy("shard").applyInArrow(count(s), COUNTED), release=True)
     totals = counted.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
-    top = counted.where("top is not null").select(F.explode("top").alias("t")).select("t.*").where(F.col("word") != 0).orderBy(F.desc("n"), "word").limit(s.frequent).collect()
+    # settled first: the shards' candidates meet in a task, and only the chosen ones are sent to the driver
+    top = settle(counted.where("top is not null").select(F.explode("top").alias("t")).select("t.*").where(F.col("word") != 0).orderBy(F.desc("n"), "word").limit(s.frequent)).collect()
     top_words = np.sort(np.array([r.word for r in top], np.int64).astype(U))
     mass = counted.where("masses is not null").select("shard", "masses").groupBy(F.pmod("shard", F.lit(64)).alias("part")).applyInArrow(add_masses, "part int, masses binary").collect()
     mass = np.sum([np.frombuffer(r.masses) for r in mass], axis=0) if mass else np.zeros(s.classes)
@@ -354,7 +355,7 @@ def score(docs: DataFrame, held_out: Column, s: Settings = Settings()) -> DataFr
         model = baum_welch(corpus, model, top_words, s)
     parts = counted.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("shard", "counts"))).alias("parts"))
     run = scored(model, top_words, mass, totals.tokens or 0, totals.distinct or 0, shards, s)
-    return corpus.drop("counts").join(parts, "batch").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return corpus.drop("counts").join(parts.hint("merge"), "batch").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def add_masses(t: pa.Table) -> pa.Table:
