@@ -196,9 +196,9 @@ def top_k(vectors: DataFrame, queries: Column, s: Settings = Settings()) -> Data
     # the parts of a length are few; each block starts at one of them and then meets the others
     plan = blocks.select("dim", "block").join(shards, "dim")
     home = plan.select("dim", "block", F.get("parts", F.pmod("block", F.col("shards"))).alias("part"))
-    first = settle(blocks.join(home, ["dim", "block"]).join(trees, ["dim", "part"]).mapInArrow(_searching(s, True), "dim int, block int, query_id binary, vec_id binary, score binary, least binary"))
+    first = settle(blocks.join(home.hint("merge"), ["dim", "block"]).join(trees.hint("merge"), ["dim", "part"]).mapInArrow(_searching(s, True), "dim int, block int, query_id binary, vec_id binary, score binary, least binary"))
     others = plan.select("dim", "block", F.explode("parts").alias("part")).join(home, ["dim", "block", "part"], "left_anti")
-    second = blocks.join(first.select("dim", "block", "least"), ["dim", "block"]).join(others, ["dim", "block"]).join(trees, ["dim", "part"]).mapInArrow(_searching(s, False), RESULT)
+    second = blocks.join(first.select("dim", "block", "least").hint("merge"), ["dim", "block"]).join(others.hint("merge"), ["dim", "block"]).join(trees.hint("merge"), ["dim", "part"]).mapInArrow(_searching(s, False), RESULT)
     found = first.select("query_id", "vec_id", "score").mapInArrow(_unpacked, RESULT).union(second)
     return ranked(found, s.k)
 
