@@ -1,18 +1,19 @@
 """Personal data: patterns, and information-theoretic sanitisation of what stands near them. DataFrame functions only.
 
 Base spans are e-mail and IP addresses, card and phone numbers, in code points. A base span's value is a protected
-entity. The method then asks which terms near entities disclose them: over the corpus, with N terms in all, an entity
-seen in n_e different contexts, a term seen c_t times and in n_te of these contexts,
+entity. The method then asks which terms near entities disclose them: over the corpus of N distinct texts, an entity
+seen in n_e of them, a term in c_t, and the term near the entity in n_te,
 
     disclosure = PMI / IC = log2(n_te * N / (n_e * c_t)) / log2(N / n_e),
 
-1 for a term that occurs with this entity only, about 0 for a term that is as frequent elsewhere. A context is the text
-around one occurrence; equal contexts, as in copies of a document, count once, and a term needs ``support`` of them.
+1 for a term that occurs with this entity only, about 0 for a term that is as frequent elsewhere. Copies of a text count
+once in all four, so that copying changes no score; an entity of every text discloses nothing. A context is the text
+around one occurrence; equal contexts count once, and a term needs ``support`` of them.
 Terms of at least ``remove`` are removed, those of at least ``generalise`` replaced by their kind.
 
 How it is distributed. The patterns need one pass. Only documents with spans go on; their contexts give a few rows for
-each span. The corpus's term counts are summed in each task before their shuffle, and joined to the candidates by
-shuffle; nothing is broadcast by hand and no group is collected but the spans of one document.
+each span. The corpus's texts are made distinct by a shuffle; their term counts are summed in each task before the next
+one, and joined to the candidates by shuffle; nothing is broadcast by hand and no group is collected but the spans of one document.
 
 Nulls and edges: a null text is empty and has no spans; null ids and repeated rows are treated row by row; empty tables
 give no rows; further columns are ignored, or kept by ``sanitise``, whatever their names.
@@ -134,27 +135,36 @@ def _contexts(s: Settings) -> Column:
     return F.concat(*(of(k) for k in PATTERNS))
 
 
+def _counts(docs: DataFrame) -> DataFrame:
+    """(term, c_t): in how many distinct texts each term is; the empty term is in all of them."""
+    text = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    terms = F.array_union(F.transform(F.split("text", GAP), lambda w: F.lower(w)), F.array(F.lit("")))
+    return text.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
+
+
 def disclosing(found: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """``found`` (_row, _text, the kinds' spans) as (_row, terms): arrays of (s, e, kind), ``term`` or ``quasi``, by s."""
-    near = found.select("_row", F.explode(_contexts(s)).alias("c"))
-    near = near.select("_row", "c.*", F.xxhash64("c.left", "c.right").alias("context"))
+    near = found.select("_row", F.xxhash64("_text").alias("copy"), F.explode(_contexts(s)).alias("c"))
+    near = near.select("_row", "copy", "c.*", F.xxhash64("c.left", "c.right").alias("context"))
     sides = near.select(
         "_row",
+        "copy",
         "entity",
         "context",
         F.explode(F.array(F.struct(F.col("left").alias("t"), F.col("lo").alias("at"), (F.col("lo") > 0).alias("cut0"), F.lit(False).alias("cut1")), F.struct(F.col("right").alias("t"), F.col("hi").alias("at"), F.lit(False).alias("cut0"), (F.col("hi") + F.length("right") < F.col("size")).alias("cut1")))).alias("x"),
-    ).select("_row", "entity", "context", "x.*")
+    ).select("_row", "copy", "entity", "context", "x.*")
     sides = sides.withColumn("m", F.regexp_extract_all("t", F.lit(TERM), F.lit(0))).where(F.size("m") > 0)
-    words = sides.select("_row", "entity", "context", "at", "cut0", "cut1", F.length("t").alias("n"), F.explode(_located(F.col("t"), TERM, F.col("m"))).alias("w"))
+    words = sides.select("_row", "copy", "entity", "context", "at", "cut0", "cut1", F.length("t").alias("n"), F.explode(_located(F.col("t"), TERM, F.col("m"))).alias("w"))
     words = words.where(~(F.col("cut0") & (F.col("w.s") == 0)) & ~(F.col("cut1") & (F.col("w.e") == F.col("n"))))
-    words = settle(words.select("_row", "entity", "context", F.lower("w.value").alias("term"), (F.col("at") + F.col("w.s")).alias("s"), (F.col("at") + F.col("w.e")).alias("e")))
-    together = words.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= s.support)
-    seen = words.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    counts = docs.select(F.explode(F.split(F.lower("text"), GAP)).alias("term")).where("term != ''").groupBy("term").agg(F.count("*").alias("c_t"))
+    words = settle(words.select("_row", "copy", "entity", "context", F.lower("w.value").alias("term"), (F.col("at") + F.col("w.s")).alias("s"), (F.col("at") + F.col("w.e")).alias("e")))
+    together = words.groupBy("entity", "term").agg(F.countDistinct("copy").alias("n_te"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= s.support)
+    seen = near.groupBy("entity").agg(F.countDistinct("copy").alias("n_e"))
     candidates = settle(together.join(seen, "entity"))
-    held = settle(counts.join(candidates.select("term").distinct(), "term", "left_semi").select("term", "c_t"))
-    total = docs.select(F.sum(F.size(F.filter(F.split(F.lower("text"), GAP), lambda w: w != "")))).first()[0] or 1
-    told = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_e") * F.col("c_t"))) / F.log2(F.lit(float(total)) / F.col("n_e"))
+    wanted = candidates.select("term").union(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    held = settle(_counts(docs).join(wanted, "term", "left_semi").select("term", "c_t"))
+    total = float((held.where("term = ''").first() or {"c_t": 0})["c_t"])
+    told = F.log2(F.col("n_te") * F.lit(total) / (F.col("n_e") * F.col("c_t"))) / F.log2(F.lit(total) / F.col("n_e"))
+    candidates = candidates.where(F.col("n_e") < total)
     revealing = candidates.join(held, "term").withColumn("told", told).where(F.col("told") >= s.generalise)
     kinds = revealing.select("entity", "term", F.when(F.col("told") >= s.remove, "term").otherwise("quasi").alias("kind"))
     hits = words.join(kinds, ["entity", "term"]).groupBy("_row", "s", "e").agg(F.max("kind").alias("kind"))

@@ -68,6 +68,25 @@ def test_disclosing_terms_are_found_and_common_ones_are_not(spark):
     assert all(clean[k] == t for k, t in rows if k < 1000) and "<email>" in clean[1000]
 
 
+def named(spark, rows):
+    """Of each row the disclosing terms."""
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return {k: {(kind, text[int(s) : int(e)]) for kind, s, e in (x.split(":") for x in got[k].split(",") if x) if kind in ("term", "quasi")} for k, text in rows}
+
+
+def test_copies_change_no_score(spark):
+    rng = np.random.default_rng(2)
+    prose = lambda n: " ".join(rng.choice([f"w{k}" for k in range(200)], n))
+    rows = [(k, prose(60)) for k in range(200)]
+    rows += [(1000 + k, f"{prose(30)} Zorblatt at z@corp.example, {prose(30)}") for k in range(3)]
+    once = named(spark, rows)
+    assert all(("term", "Zorblatt") in once[1000 + k] for k in range(3))
+    for copied in (200, 0):  # a text that holds the term, and one that does not
+        copies = [(5000 + k, rows[copied][1]) for k in range(1000)]
+        many = named(spark, rows + copies)
+        assert {k: many[k] for k in once} == once and all(many[k] == once[rows[copied][0]] for k, _ in copies)
+
+
 def test_sanitise_keeps_columns_and_merges_overlaps(spark):
     df = spark.createDataFrame([(1, "x +4222222222222 y", "p", 2), (None, None, None, None)], "doc_id long, text string, _text string, terms int")
     assert sorted(map(tuple, pii.sanitise(df).collect()), key=str) == [(1, "x <phone> y", "p", 2), (None, None, None, None)]
