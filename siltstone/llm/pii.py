@@ -1,19 +1,21 @@
 """Personal data: patterns, and information-theoretic sanitisation of what stands near them. DataFrame functions only.
 
 Base spans are e-mail and IP addresses, card and phone numbers, in code points. A base span's value is a protected
-entity. The method then asks which terms near entities disclose them: over the corpus of N distinct texts, an entity
-seen in n_e of them, a term in c_t, and the term near the entity in n_te,
+entity. The method then asks which terms disclose entities: over the corpus of N distinct texts, an entity in n_e of them,
+a term in c_t, and both in n_te,
 
     disclosure = PMI / IC = log2(n_te * N / (n_e * c_t)) / log2(N / n_e),
 
-1 for a term that occurs with this entity only, about 0 for a term that is as frequent elsewhere. Copies of a text count
-once in all four, so that copying changes no score; an entity of every text discloses nothing. A context is the text
-around one occurrence; equal contexts count once, and a term needs ``support`` of them.
-Terms of at least ``remove`` are removed, those of at least ``generalise`` replaced by their kind.
+1 for a term that occurs with this entity only, about 0 for a term that is as frequent elsewhere. The context of an entity
+is the whole text. Copies of a text count once in all four, so that copying changes no score; texts that differ at all are
+different ones. A term and an entity must meet ``support`` times: in a text, as often as the rarer of them is there. An
+entity of every text discloses nothing. Terms of at least ``remove`` are removed wherever they are in a text with the
+entity, those of at least ``generalise`` replaced by their kind.
 
-How it is distributed. The patterns need one pass. Only documents with spans go on; their contexts give a few rows for
-each span. The corpus's texts are made distinct by a shuffle; their term counts are summed in each task before the next
-one, and joined to the candidates by shuffle; nothing is broadcast by hand and no group is collected but the spans of one document.
+How it is distributed. The patterns need one pass. Only distinct texts with entities that occur ``support`` times go on;
+entities of the same texts are one class, so that a list of addresses does not meet all its terms address by address.
+The corpus's texts are made distinct by a shuffle; their term counts are summed in each task before the next one, and
+joined to the candidates by shuffle; nothing is broadcast by hand and no group is collected but the spans of one document.
 
 Nulls and edges: a null text is empty and has no spans; null ids and repeated rows are treated row by row; empty tables
 give no rows; further columns are ignored, or kept by ``sanitise``, whatever their names.
@@ -26,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import partitions, settle
 
 #: The kinds and their patterns; as given, but so that no text takes more than linear time: a match can only begin
 #: where its run of characters does, and what is not followed by anything is never given back.
@@ -44,8 +46,7 @@ BLOCK = 256
 
 @dataclass(frozen=True)
 class Settings:
-    #: Code points on each side of a span whose whole terms are its context.
-    reach: int = 64
+    #: Meetings of a term and an entity, at least.
     support: int = 3
     generalise: float = 0.7
     remove: float = 0.85
@@ -120,19 +121,10 @@ def base(docs: DataFrame) -> DataFrame:
     return out.select(*(c for c in out.columns if not c.startswith("_m_")), *spans)
 
 
-def _contexts(s: Settings) -> Column:
-    """For each base span its entity, a hash of its context and the context's terms as (term, s, e)."""
-    text = F.col("_text")
-
-    def of(kind: str):
-        def one(x: Column) -> Column:
-            lo = F.greatest(x["s"] - s.reach, F.lit(0))
-            left, right = F.substring(text, lo + 1, x["s"] - lo), F.substring(text, x["e"] + 1, F.lit(s.reach))
-            return F.struct(F.concat(F.lit(f"{kind}:"), F.lower(x["value"])).alias("entity"), lo.alias("lo"), left.alias("left"), x["e"].alias("hi"), right.alias("right"), F.length(text).alias("size"))
-
-        return F.transform(f"_{kind}", one)
-
-    return F.concat(*(of(k) for k in PATTERNS))
+def _entities() -> Column:
+    """The entity of each base span."""
+    of = lambda kind: lambda x: F.concat(F.lit(f"{kind}:"), F.lower(x["value"]))
+    return F.concat(*(F.transform(f"_{k}", of(k)) for k in PATTERNS))
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -144,31 +136,30 @@ def _counts(docs: DataFrame) -> DataFrame:
 
 def disclosing(found: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """``found`` (_row, _text, the kinds' spans) as (_row, terms): arrays of (s, e, kind), ``term`` or ``quasi``, by s."""
-    near = found.select("_row", F.xxhash64("_text").alias("copy"), F.explode(_contexts(s)).alias("c"))
-    near = near.select("_row", "copy", "c.*", F.xxhash64("c.left", "c.right").alias("context"))
-    sides = near.select(
-        "_row",
-        "copy",
-        "entity",
-        "context",
-        F.explode(F.array(F.struct(F.col("left").alias("t"), F.col("lo").alias("at"), (F.col("lo") > 0).alias("cut0"), F.lit(False).alias("cut1")), F.struct(F.col("right").alias("t"), F.col("hi").alias("at"), F.lit(False).alias("cut0"), (F.col("hi") + F.length("right") < F.col("size")).alias("cut1")))).alias("x"),
-    ).select("_row", "copy", "entity", "context", "x.*")
-    sides = sides.withColumn("m", F.regexp_extract_all("t", F.lit(TERM), F.lit(0))).where(F.size("m") > 0)
-    words = sides.select("_row", "copy", "entity", "context", "at", "cut0", "cut1", F.length("t").alias("n"), F.explode(_located(F.col("t"), TERM, F.col("m"))).alias("w"))
-    words = words.where(~(F.col("cut0") & (F.col("w.s") == 0)) & ~(F.col("cut1") & (F.col("w.e") == F.col("n"))))
-    words = settle(words.select("_row", "copy", "entity", "context", F.lower("w.value").alias("term"), (F.col("at") + F.col("w.s")).alias("s"), (F.col("at") + F.col("w.e")).alias("e")))
-    together = words.groupBy("entity", "term").agg(F.countDistinct("copy").alias("n_te"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= s.support)
-    seen = near.groupBy("entity").agg(F.countDistinct("copy").alias("n_e"))
-    candidates = settle(together.join(seen, "entity"))
+    copy = F.xxhash64("_text").alias("copy")
+    held = found.select("_row", copy, F.explode(_entities()).alias("entity")).groupBy("_row", "copy", "entity").agg(F.count("*").alias("n"))
+    held = settle(held.groupBy("copy", "entity").agg(F.max("n").alias("n")))
+    often = held.groupBy("entity").agg(F.bit_xor(F.xxhash64("copy", "n")).alias("who"), F.count("*").alias("n_e"), F.sum("n").alias("times")).where(F.col("times") >= s.support)
+    held = settle(held.join(often, "entity").select("copy", "who", "n_e", F.col("n").alias("n_who")).distinct())
+    text = settle(found.select(copy, "_text").dropDuplicates(["copy"]).join(held.select("copy").distinct(), "copy", "left_semi"))
+    words = text.select("copy", F.explode(F.split("_text", GAP)).alias("term")).where("term != ''")
+    words = settle(words.groupBy("copy", F.lower("term").alias("term")).agg(F.count("*").alias("n")))
+    meeting = words.join(held, "copy")
+    together = meeting.groupBy("who", "n_e", "term").agg(F.count("*").alias("n_te"), F.sum(F.least("n", "n_who")).alias("times")).where(F.col("times") >= s.support)
+    candidates = settle(together)
     wanted = candidates.select("term").union(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    held = settle(_counts(docs).join(wanted, "term", "left_semi").select("term", "c_t"))
-    total = float((held.where("term = ''").first() or {"c_t": 0})["c_t"])
-    told = F.log2(F.col("n_te") * F.lit(total) / (F.col("n_e") * F.col("c_t"))) / F.log2(F.lit(total) / F.col("n_e"))
-    candidates = candidates.where(F.col("n_e") < total)
-    revealing = candidates.join(held, "term").withColumn("told", told).where(F.col("told") >= s.generalise)
-    kinds = revealing.select("entity", "term", F.when(F.col("told") >= s.remove, "term").otherwise("quasi").alias("kind"))
-    hits = words.join(kinds, ["entity", "term"]).groupBy("_row", "s", "e").agg(F.max("kind").alias("kind"))
-    return hits.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("s", "e", "kind"))).alias("terms"))
+    counts = settle(_counts(docs).join(wanted, "term", "left_semi").select("term", "c_t"))
+    total = float((counts.where("term = ''").first() or {"c_t": 0})["c_t"])
+    told = F.log2(F.col("n_te") * F.lit(total) / (F.col("n_e") * F.col("c_t"))) / F.when(F.col("n_e") < total, F.log2(F.lit(total) / F.col("n_e")))
+    revealing = candidates.join(counts, "term").withColumn("told", told).where(F.col("told") >= s.generalise)
+    kinds = settle(revealing.select("who", "n_e", "term", F.when(F.col("told") >= s.remove, "term").otherwise("quasi").alias("kind")))
+    hits = settle(meeting.join(kinds, ["who", "n_e", "term"]).groupBy("copy", "term").agg(F.max("kind").alias("kind")))
+    # few bytes, but work for each word: not to be joined into one task
+    placed = text.join(hits.select("copy").distinct(), "copy", "left_semi").repartition(partitions(docs.sparkSession), "copy")
+    placed = placed.select("copy", F.explode(_located(F.col("_text"), TERM, F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)))).alias("w"))
+    placed = placed.select("copy", F.lower("w.value").alias("term"), "w.s", "w.e").join(hits, ["copy", "term"])
+    placed = placed.groupBy("copy").agg(F.sort_array(F.collect_list(F.struct("s", "e", "kind"))).alias("terms"))
+    return found.select("_row", copy).join(placed, "copy").select("_row", "terms")
 
 
 def _any() -> Column:

@@ -87,6 +87,19 @@ def test_copies_change_no_score(spark):
         assert {k: many[k] for k in once} == once and all(many[k] == once[rows[copied][0]] for k, _ in copies)
 
 
+def test_the_whole_text_is_the_context(spark):
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join(rng.choice([f"w{k}" for k in range(200)], n))
+    rows = [(k, prose(60)) for k in range(200)]
+    rows += [(1000 + k, f"Zorblatt\n{prose(100)} z@corp.example {prose(100)} zorblatt") for k in range(3)]
+    rows += [(2000, " ".join(f"Yoldan {prose(50)} y@corp.example" for _ in range(3))), (2001, f"Xandro {prose(50)} x@corp.example")]
+    got = named(spark, rows)
+    assert all({("term", "Zorblatt"), ("term", "zorblatt")} == got[1000 + k] for k in range(3))
+    assert got[2000] == {("term", "Yoldan")} and not any(got[k] for k in got if k not in (1000, 1001, 1002, 2000))
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("orblatt" not in clean[1000 + k] and "Yoldan" not in clean[2000] for k in range(3))
+
+
 def test_sanitise_keeps_columns_and_merges_overlaps(spark):
     df = spark.createDataFrame([(1, "x +4222222222222 y", "p", 2), (None, None, None, None)], "doc_id long, text string, _text string, terms int")
     assert sorted(map(tuple, pii.sanitise(df).collect()), key=str) == [(1, "x <phone> y", "p", 2), (None, None, None, None)]
