@@ -4,9 +4,12 @@ Vectors are linked if their labels are equal and the cosine of the originals, in
 ``threshold``. Candidates come from binary codes: the vectors of a sample are centred, rotated to their principal axes
 and then by a learned rotation that brings them closest to the corners of a cube (iterative quantisation), which makes
 the bits balanced; a code is the signs. Codes are cut into substrings, and each substring of each of several such codes
-keys a Hamming table. At a cosine of t two signs differ with probability acos(t)/pi, so that substrings of b bits agree
-with (1 - acos(t)/pi) ** b; with b near log2 of the number of vectors, as many tables are made as keep the chance that a
-linked pair shares none under ``miss``. Every pair of a bucket is reranked with the original vectors.
+keys a Hamming table. At an angle of a two signs differ with probability a/pi, so that substrings of b bits agree with
+(1 - a/pi) ** b; with b near log2 of the number of vectors, as many tables are made as keep the chance that a linked pair
+shares none under ``miss``. The angle is that after centring: linked unit vectors are at most d = sqrt(2 - 2 t) apart, so
+a pair of which one is at least r > d from the mean is within asin(d / r). r is chosen by cost from the sample's
+distances; all vectors nearer to the mean than r share one more bucket for each label, where each pair is compared.
+Every pair of a bucket is reranked with the original vectors.
 
 How it is distributed. Equal vectors of a label are one class with a weight. Keys that one class alone has are dropped.
 A bucket is dealt in blocks of at most about ``block`` classes, pairs of which meet in tasks of fixed size, as matrix
@@ -65,15 +68,35 @@ def rotations(x: np.ndarray, bits: int, n: int, s: Settings) -> tuple[np.ndarray
     return mean, np.concatenate(out, axis=1)
 
 
-def plan(rows: int, dim: int, s: Settings) -> tuple[int, int, int]:
-    """Bits of a substring, substrings of a code, and codes, for so many vectors."""
+def plan(rows: int, dim: int, s: Settings, angle: float | None = None) -> tuple[int, int, int]:
+    """Bits of a substring, substrings of a code, and codes, for so many vectors. angle: of linked pairs, at most; default
+    that of the threshold."""
     width = min(dim, max(8, math.ceil(math.log2(max(2, rows)))))
-    agree = (1 - math.acos(s.threshold) / math.pi) ** width
+    agree = (1 - (math.acos(s.threshold) if angle is None else angle) / math.pi) ** width
     tables = math.ceil(math.log(s.miss) / math.log(1 - agree))
     per_code = max(1, dim // width)
     return width, per_code, -(-tables // per_code)
 
 
+def near_mean(x: np.ndarray, rows: int, s: Settings) -> tuple[float, float]:
+    """From the unit vectors of a sample: r, the distance from their mean below which all pairs are compared, and the angle
+    after centring that no other linked pair exceeds."""
+    far = np.sort(np.linalg.norm(x - x.mean(0), axis=1))
+    d, dim = math.sqrt(2 - 2 * s.threshold), x.shape[1]
+    best = (math.inf, math.inf, math.acos(s.threshold))  # all pairs
+    for share in (0.0, 0.001, 0.01, 0.03, 0.1, 0.3, 0.5, 1.0):
+        r = math.inf if share == 1 else far[int(share * len(far))] * (1 - 1e-9)
+        angle = math.acos(s.threshold) if share == 1 else math.asin(min(1.0, d / r)) if r > 0 else math.pi
+        if share < 1 and r <= d:
+            continue
+        _, per_code, codes = plan(rows, dim, s, angle)
+        tables = per_code * codes
+        # rows that a vector is sent in, times what each carries
+        cost = (tables + share**2 * rows / s.block) * (tables + dim)
+        best = min(best, (cost, r, angle))
+    return best[1:]
+
+
 def signed(maps: dict[int, tuple], s: Settings):
     """Keys of the tables for each class."""
 
@@ -85,7 +108,7 @@ def signed(maps: dict[int, tuple], s: Settings):
                 part = b.take(pa.array(at))
                 x = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                mean, maps_, width, per_code = maps[int(dim)]
+                mean, maps_, width, per_code, r_ = maps[int(dim)]
                 bits = (x - mean) @ maps_ >= 0
                 size = maps_.shape[1] // (per_code * width) if maps_.shape[1] else 0
                 keys = []
@@ -93,6 +116,8 @@ def signed(maps: dict[int, tuple], s: Settings):
                 code = maps_.shape[1] // max(1, size)
                 with np.errstate(over="ignore"):
                     salt = mix(label * U(0x9E3779B97F4A7C15) + U(dim))
+                    own = mix(part.column("cls").to_numpy(zero_copy_only=False).astype(np.int64).astype(U) ^ U(0xA0761D6478BD642F))
+                    keys.append(np.where(np.linalg.norm(x - mean, axis=1) < r_, mix(salt ^ U(0xE7037ED1A0B428DB)), own))
                     for r in range(size):
                         for k in range(per_code):
                             word = bits[:, r * code + k * width : r * code + (k + 1) * width]
@@ -169,13 +194,14 @@ def dedup(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     sizes = {r.dim: r.n for r in classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}  # one for each length of vectors
     maps = {}
     for dim, n in sizes.items():
-        width, per_code, codes = plan(n, dim, s)
         sample = classes.where(F.size("v") == dim).orderBy(F.xxhash64("cls", F.lit(3))).limit(s.sample).select("v").collect()
         x = np.array([r.v for r in sample])
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         if len(x) < dim:  # too few vectors to learn from: any rotation
             x = np.concatenate([x, np.random.default_rng(s.seed).normal(size=(2 * dim, dim)) / math.sqrt(dim)])
-        maps[dim] = (*rotations(x, dim, codes, s), width, per_code)
+        r, angle = near_mean(x, n, s)
+        width, per_code, codes = plan(n, dim, s, angle)
+        maps[dim] = (*rotations(x, dim, codes, s), width, per_code, r)
     keyed = settle(classes.select("cls", "weight", "label", "v").mapInArrow(signed(maps, s), "cls long, weight long, keys array<long>, unit binary"))
     buckets = keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / s.block).cast("int").alias("blocks"))
     members = keyed.select("cls", F.explode("keys").alias("key")).join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("cls", "key"), F.col("blocks")).cast("int"))

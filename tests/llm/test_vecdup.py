@@ -59,6 +59,24 @@ def test_matches_brute_force(spark, block):
     assert sum(got[k] == want[k] for k in got) >= 0.995 * len(got)
 
 
+def test_vectors_with_a_common_mean(spark):
+    """Pairs near the threshold around a mean cosine of 0.9."""
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x)
+    mean, data = unit(rng.normal(size=64)), []
+    for _ in range(1500):
+        x = unit(0.9**0.5 * mean + 0.1**0.5 * unit(rng.normal(size=64)))
+        y = unit(rng.normal(size=64))
+        data += [x, unit(x + 0.19 * unit(y - (y @ x) * x))]
+    x = np.array(data, np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = int((x @ x.T >= 0.98).sum()) - len(x)
+    assert want >= 3000
+    df = spark.createDataFrame([(k, v.tolist(), 1, "x") for k, v in enumerate(data)], SCHEMA)
+    found = sum(r.n_links for r in V.dedup(df, V.Settings()).collect())
+    assert 0.999 * want <= found <= want, (found, want)
+
+
 def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(4, [1.0, 0.0], 1, "x"), (4, [1.0, 0.0], 1, "x"), (3, [2.0, 0.0], 1, "x"), (None, [3.0, 0.0], 1, "x"), (9, [1.0, 1.0], 1, "x")], SCHEMA)
     got = sorted((tuple(r) for r in V.dedup(df).collect()), key=str)
@@ -71,3 +89,16 @@ def test_tables_follow_the_number_of_vectors():
         width, per_code, codes = V.plan(n, 64, V.Settings())
         agree = (1 - math.acos(0.98) / math.pi) ** width
         assert (1 - agree) ** (per_code * codes) <= 1e-4 and width >= min(64, math.log2(n))
+
+
+def test_angles_after_centring_decide_the_tables():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4096, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r, angle = V.near_mean(x, 10**6, V.Settings())
+    assert (np.linalg.norm(x - x.mean(0), axis=1) < r).mean() <= 0.1 and math.acos(0.98) <= angle < 0.21
+    x = 0.5**0.5 * x[0] + 0.5**0.5 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r, angle = V.near_mean(x, 10**9, V.Settings())
+    assert r < math.inf and angle >= math.asin(0.2 / r) - 1e-9 > math.acos(0.98)
+    assert V.near_mean(np.tile(x[:1], (100, 1)), 10**6, V.Settings())[0] == math.inf
