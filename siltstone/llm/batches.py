@@ -65,7 +65,7 @@ def batched(docs: DataFrame, keep: tuple[str, ...] = (), size: int = SIZE) -> Da
 
     columns = [F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *keep]
     with fixed_plan(docs.sparkSession):  # dealt by batch, and so read without a shuffle by joins on it
-        return settle(docs.select(*columns).mapInArrow(run, SCHEMA).repartition(partitions(docs.sparkSession), "batch"), release=True)
+        return settle(docs.select(*columns).mapInArrow(run, SCHEMA).repartition(partitions(docs), "batch"))
 
 
 def opened(row: dict) -> tuple[list[int | None], np.ndarray, np.ndarray]:

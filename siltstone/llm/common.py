@@ -6,12 +6,13 @@ n-grams and hashes are computed over that buffer at once rather than text by tex
 
 from __future__ import annotations
 
-import gc
+import hashlib
 import os
+import re
 import tempfile
-import time
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
+#: Bytes of a word beyond which it is hashed on its own.
+LONG = 512
+#: Masks for the first 0 .. 8 bytes of a little-endian number.
+REST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -107,15 +112,21 @@ class Words:
         self.doc = np.repeat(np.arange(j - i), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, U)
-        n = len(self.bytes)
-        up, down = powers(n + 1)
+        """Each word's bytes are taken up eight at a time by multiplications and shifts that depend on all bytes before,
+        so that no arithmetic relation of bytes makes two words collide. Very long words are hashed by BLAKE2b."""
+        out = np.zeros(len(self.start), U)
+        size = self.end - self.start
+        eight = np.ndarray(len(self.bytes), "<u8", np.concatenate([self.bytes, np.zeros(8, np.uint8)]), strides=(1,))
+        at = np.flatnonzero(size <= LONG)
         with np.errstate(over="ignore"):
-            sums = np.empty(n + 1, U)
-            sums[0] = 0
-            np.cumsum(BYTE64[self.bytes] * up[:n], out=sums[1:])
-            return mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U))
+            for k in range(0, int(size[at].max()) if len(at) else 0, 8):
+                at = at[size[at] > k]
+                part = eight[self.start[at] + k].astype(U) & REST[np.minimum(size[at] - k, 8)]
+                out[at] = mix((out[at] + ADD[k + 1]) * ODD[k + 1] ^ part * ODD[k + 2]) + part
+            out = mix(out + size.astype(U) * ODD[0])
+        for k in np.flatnonzero(size > LONG):
+            out[k] = int.from_bytes(hashlib.blake2b(self.bytes[self.start[k] : self.end[k]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
 
 def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -161,48 +172,89 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Uses the cluster's spark.checkpoint.dir; only where it is unset, as in tests, a temporary folder of this machine."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Only where it is unset and all runs on this machine, as in tests, a temporary one."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siltstone-checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siltstone-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
-def settle(df: DataFrame, release: bool = False) -> DataFrame:
-    """Writes the rows to the shared checkpoint folder and goes on from there: a lost executor costs no recomputation.
+#: Of the steps settled within ``dropping``, where their rows are.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
-    The driver's JVM is asked to collect its garbage, which many small plans would else let grow to the limit. With
-    ``release``, for steps behind large shuffles, it is done so that Spark also drops the shuffle files of all that is no
-    longer referenced; they would else stay, and disk, not memory, is what runs short."""
-    spark = df.sparkSession
-    ensure_checkpoints(spark)
-    out = df.checkpoint(eager=True)
-    del df
-    system = spark.sparkContext._jvm.System
-    if release:
-        gc.collect()
-        time.sleep(1.1)  # the gateway passes on what Python dropped about once a second
-        system.gc()
-        time.sleep(1.1)
-    system.gc()
-    return out
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _place(settled: DataFrame) -> str | None:
+    file = settled._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    return file.get() if file.isDefined() else None
+
+
+def forget(settled: DataFrame) -> None:
+    """Deletes what ``settle`` wrote for this result, which nothing reads any more."""
+    if path := _place(settled):
+        delete(settled.sparkSession, path)
 
 
 @contextmanager
-def fixed_plan(spark: SparkSession) -> Iterator[None]:
-    """Without adaptive planning, a checkpoint remembers how its rows are partitioned."""
-    key = "spark.sql.adaptive.enabled"
+def dropping(spark: SparkSession) -> Iterator[None]:
+    """What is settled inside is deleted at the end; for callers that by then have written their result."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        for path in _written.get():
+            delete(spark, path)
+        _written.reset(token)
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     old = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, old)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def settle(df: DataFrame) -> DataFrame:
+    """Writes the rows to the shared checkpoint folder and goes on from there: a lost executor costs no recomputation.
+
+    The shuffle files of the step are removed as soon as its rows are written, by Spark's own setting for that; disk, not
+    memory, is what runs short. Another query planned at the same moment would only lose its files at its own end."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        out = df.select("*").checkpoint(eager=True)
+    written = _written.get()
+    if written is not None and (path := _place(out)):
+        written.append(path)
+    return out
+
+
+def fixed_plan(spark: SparkSession):
+    """Without adaptive planning, a checkpoint remembers how its rows are partitioned. Another query planned at the same
+    moment loses adaptive planning, not rows."""
+    return setting(spark, "spark.sql.adaptive.enabled", "false")
+
+
+#: Bytes of a table's files for each partition, at most about.
+PARTITION = 256 << 20
+
+
+def partitions(df: DataFrame) -> int:
+    """As many as the session's setting, or more where the tables behind ``df`` are larger than that many partitions hold."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # the plan of rows without files has no size
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // PARTITION))
 
 
 def fold(column: str, k: int) -> Column:

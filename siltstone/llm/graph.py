@@ -1,36 +1,50 @@
-"""Connected components by alternating stars, in rounds of joins and aggregates written to the checkpoint folder."""
+"""Connected components by alternating stars, in rounds of joins and aggregates written to the checkpoint folder.
+
+A component's smallest node soon has all its edges. So a node's edges are dealt to ``SALTS`` parts by their other ends:
+the smallest neighbour is found in each part and then over the parts, and goes back to the parts to be joined with their
+edges. No task gets all edges of one node.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import forget, settle
+
+SALTS = 256
+
+
+def _least(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``e`` (u, v) with the part of each edge, and for each node and part (u, s) the node's smallest neighbour m."""
+    salted = e.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("u", "s").agg(F.min("v").alias("m"))
+    return salted, parts.select("u", "s").join(parts.groupBy("u").agg(F.min("m").alias("m")), "u")
 
 
 def _large(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    salted, least = _least(both)
+    return salted.where("v > u").join(least, ["u", "s"]).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u != v").distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
+    salted, least = _least(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    moved = salted.join(least, ["u", "s"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``edges`` (u, v: long) as (node, component): the smallest node reachable. Loops and nulls are ignored; nodes
-    without an edge to another node are not returned."""
+    without an edge to another node are not returned. Rounds go on until one changes nothing; each moves nodes to smaller
+    ones only, so there is such a round."""
     e = settle(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
-    for _ in range(rounds):
-        now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+    while True:
+        now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).first()
         if tuple(now) == state or not now.n:
             break
-        state = tuple(now)
+        state, old = tuple(now), e
         e = settle(_small(_large(e)))
-    else:
-        raise RuntimeError(f"components: not done after {rounds} rounds")
+        forget(old)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -190,7 +190,7 @@ def confirmed(corpus: DataFrame, reps: DataFrame, found: DataFrame, s: Settings)
     sizes = found.groupBy("cluster").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
     placed = found.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("blocks")).cast("int"))
     wanted = reps.join(placed, "cls").groupBy("at.batch").agg(F.collect_list(F.struct(F.col("at.idx").alias("idx"), "cls", "cluster", "blocks", "block")).alias("wanted"))
-    members = settle(corpus.select("batch", "ids", "lengths", "texts").join(wanted.hint("merge"), "batch").mapInArrow(fetch(s), "cls long, cluster long, blocks int, block int, hashes binary"), release=True)
+    members = settle(corpus.select("batch", "ids", "lengths", "texts").join(wanted.hint("merge"), "batch").mapInArrow(fetch(s), "cls long, cluster long, blocks int, block int, hashes binary"))
     large = members.where("blocks > 1")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     share = (F.lit(4 * s.pivots) / (F.col("blocks") * s.block)) * F.lit(2.0**31)

@@ -424,8 +424,8 @@ def dedup(docs: DataFrame, s: Settings = Settings(), texts_too: bool = False, ke
     kept_text, and the columns ``keep``, which must have other names than these."""
     corpus = B.batched(docs, keep)
     shards = B.shards(corpus, 2 * s.shard)
-    parts = partitions(docs.sparkSession)
-    found = settle(_candidates(corpus, shards, parts, s), release=True)
+    parts = partitions(docs)
+    found = settle(_candidates(corpus, shards, parts, s))
     least = found.drop("runs").repartition(parts, "shard").groupBy("shard").applyInArrow(compare(s), LEAST)
     per_batch = (
         found.select("batch", "shard", "sizes", "runs")

@@ -207,7 +207,7 @@ def dedup(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     members = keyed.select("cls", F.explode("keys").alias("key")).join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("cls", "key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = members.select("key", "cls", "block", other).select("key", "cls", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    meeting = pairs.join(keyed.hint("merge"), "cls").repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    meeting = pairs.join(keyed.hint("merge"), "cls").repartition(partitions(vectors), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = settle(meeting.mapInArrow(compare(s), LINKS))
     counts = found.where("n is not null").groupBy(F.col("u").alias("cls")).agg(F.sum("n").alias("others"))
     part = components(found.where("v is not null").select("u", "v"))
