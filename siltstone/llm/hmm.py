@@ -5,13 +5,16 @@ any other word is first a class, by a hash of its last three bytes, and then a w
 (c + 0.5) / (sum of (c' + 0.5) over the class's training words + 0.5), the rest being left for words never seen. So the
 probabilities of all words, one unseen word for each class, sum to 1. Baum-Welch trains start, transition and emission
 probabilities: each partition computes the expected counts of its texts, the partitions' counts are added up, and new
-probabilities follow. Training goes over all tokens of all training texts, in sequences of at most ``block`` tokens; it
-starts from the same algorithm's result on a sample of at most ``sample`` tokens. A text's score is exact: the scaled
-forward recursion over the whole of it.
+probabilities follow. Every pass goes over all tokens of all training texts, each text as one sequence; the first model
+has the corpus's own frequencies, shaken at random for each state. A text longer than ``block`` tokens is worked on block
+by block: the forward vectors at the blocks' edges are kept, and the backward vector is carried over from the block after.
+A text's score is exact: the scaled forward recursion over the whole of it.
 
 How it is distributed. Words are 64-bit hashes; batches hold their texts as numbers of their own word lists. A batch asks
-each shard for the corpus counts of its words once, so a frequent word is one entry a batch. Only the frequent words and
-the model (``states`` times the symbols) are sent to the driver and broadcast, of fixed size whatever the corpus.
+each shard for the corpus counts of its words once, so a frequent word is one entry a batch; where there are more than
+``fan`` batches, the requests of ``fan`` batches are added up before a shard adds up these sums, so that no task holds a
+row for each batch. Only the frequent words and the model (``states`` times the symbols) are sent to the driver and
+broadcast, of fixed size whatever the corpus.
 
 Nulls and edges: a null or empty text is its end token only; a null id counts as training; repeated rows are counted and
 scored each; with no training text base_score is 0 for each token; an empty table gives no rows; further columns are
@@ -40,12 +43,14 @@ class Settings:
     states: int = 8
     frequent: int = 4096
     classes: int = 1024
-    #: Passes of Baum-Welch over the corpus, after those over the sample.
-    passes: int = 2
-    sample_passes: int = 20
-    sample: int = 400_000
-    block: int = 512
+    #: Passes of Baum-Welch over the corpus.
+    passes: int = 6
+    #: Tokens of a text whose vectors are held at a time, and steps between two scalings.
+    block: int = 1 << 17
+    every: int = 12
     seed: int = 3
+    #: Requests that one task adds up, at most about.
+    fan: int = 4096
     #: Bytes of text in a batch and for each shard of the counts, about.
     batch: int = 8 << 20
     shard: int = 24 << 20
@@ -111,6 +116,9 @@ def by_shard(words: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np
     return order, edge, np.append(edge[1:], len(order))
 
 
+REQUEST = "shard long, batch long, words binary, counts binary, classes binary"
+
+
 def ask(shards: int):
     def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.each(arrived):
@@ -127,6 +135,34 @@ def ask(shards: int):
 
 
 COUNTED = "batch long, shard long, counts binary, tokens long, distinct long, top array<struct<word:long,n:long,kind:int>>, masses binary"
+COUNTED_NAMES = ["batch", "shard", "counts", "tokens", "distinct", "top", "masses"]
+
+
+def summed(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Distinct words of some requests, their counts and classes, the place of each requested word among them, and where
+    each request begins."""
+    words = [np.frombuffer(x.as_py(), U) for x in t.column("words")]
+    n = np.concatenate([B.unpack(x.as_py(), np.int64) for x in t.column("counts")])
+    kinds = np.concatenate([B.unpack(x.as_py(), np.uint16) for x in t.column("classes")])
+    every, first, inverse = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
+    total = np.zeros(len(every), np.int64)
+    np.add.at(total, inverse, n)
+    return every, total, kinds[first], inverse, np.cumsum([0, *map(len, words)]).tolist()
+
+
+def pooled(t: pa.Table) -> pa.Table:
+    """The requests of a pool of batches as one, which takes the pool's number for that of a batch."""
+    every, total, kinds, _, _ = summed(t)
+    cells = [pa.array([v], pa.binary()) for v in (every.tobytes(), B.pack(total), B.pack(kinds))]
+    return pa.table([t.column("shard")[:1], t.column("pool")[:1], *cells], ["shard", "batch", "words", "counts", "classes"])
+
+
+def passed_on(key: tuple, requests: pa.Table, answers: pa.Table) -> pa.Table:
+    """What a pool was told, to each of its batches."""
+    *_, inverse, at = summed(requests)
+    total = B.unpack(answers.column("counts")[0].as_py(), np.int64)
+    own = [B.pack(total[inverse[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return pa.table([requests.column("batch"), requests.column("shard"), pa.array(own, pa.binary())], ["batch", "shard", "counts"])
 
 
 def count(s: Settings):
@@ -134,19 +170,12 @@ def count(s: Settings):
     the number and counts of the words of each class."""
 
     def run(t: pa.Table) -> pa.Table:
-        words = [np.frombuffer(x.as_py(), U) for x in t.column("words")]
-        n = np.concatenate([B.unpack(x.as_py(), np.int64) for x in t.column("counts")])
-        kinds = np.concatenate([B.unpack(x.as_py(), np.uint16) for x in t.column("classes")])
-        every, first, inverse = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
-        total = np.zeros(len(every), np.int64)
-        np.add.at(total, inverse, n)
-        kinds = kinds[first]
-        top = np.lexsort((every, -total))[: s.frequent + 1]
+        every, total, kinds, inverse, at = summed(t)
+        top = np.lexsort((every, -total, every != END))[: s.frequent + 1]
         top = top[total[top] > 0]
         known = total > 0
         words_known = known & (every != END)
         mass = np.bincount(kinds[words_known], total[words_known] + 0.5, s.classes)
-        at = np.cumsum([0, *map(len, words)])
         rows = t.num_rows
         own = [B.pack(total[inverse[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
         once = lambda x, kind: pa.array([x] + [None] * (rows - 1), kind)
@@ -166,7 +195,18 @@ def count(s: Settings):
     return run
 
 
-COUNTED_NAMES = ["batch", "shard", "counts", "tokens", "distinct", "top", "masses"]
+def counts_of(corpus: DataFrame, batches: int, shards: int, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(batch, shard, counts), the answers to all requests; and the shards' totals, as made by ``count``."""
+    requests = corpus.select("batch", "words", "counts", "classes").mapInArrow(ask(shards), REQUEST)
+    pools = -(-batches // s.fan)
+    if pools <= 1:
+        told = settle(requests.groupBy("shard").applyInArrow(count(s), COUNTED))
+        return told.select("batch", "shard", "counts"), told
+    requests = settle(requests.withColumn("pool", F.pmod(F.xxhash64("batch"), F.lit(pools))))
+    told = settle(requests.groupBy("shard", "pool").applyInArrow(pooled, REQUEST).groupBy("shard").applyInArrow(count(s), COUNTED))
+    pool = told.select("shard", F.col("batch").alias("pool"), "counts")
+    answers = requests.groupBy("shard", "pool").cogroup(pool.groupBy("shard", "pool")).applyInArrow(passed_on, "batch long, shard long, counts binary")
+    return settle(answers), told
 
 
 # ---------------------------------------------------------------- the model
@@ -205,43 +245,121 @@ def lanes(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return order, begin, out
 
 
-def forward(m: Model, begin: np.ndarray, tokens: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """The natural logarithm of the scale at each token in the order of ``lanes``; with ``keep`` also the scaled alphas."""
-    emit, move = np.ascontiguousarray(m.emit, np.float64), m.move
-    scale = np.empty(len(tokens))
-    alphas = np.empty((len(tokens), len(m.start))) if keep else None
-    a = None
-    for t in range(len(begin) - 1):
+def ahead(m: Model, begin: np.ndarray, e: np.ndarray, s: Settings, first: np.ndarray | None = None, keep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """The forward recursion over sequences in the order of ``lanes``; e: the emission probabilities of each token. Returns
+    for each sequence the natural logarithm of its likelihood and its last vector, scaled to 1; with ``keep`` also the
+    vectors at all tokens, each in some scale. first: the vectors before the first tokens, if a sequence goes on."""
+    n = int(begin[1]) if len(begin) > 1 else 0
+    log, last = np.zeros(n), np.zeros((n, len(m.start)))
+    alphas = np.empty_like(e) if keep else None
+    a, steps = first, len(begin) - 1
+    for t in range(steps):
         lo, hi = begin[t], begin[t + 1]
-        e = emit[tokens[lo:hi]]
-        a = m.start * e if a is None else (a[: hi - lo] @ move) * e
-        c = a.sum(1)
-        a /= c[:, None]
-        scale[lo:hi] = c
+        a = m.start * e[lo:hi] if a is None else (a[: hi - lo] @ m.move) * e[lo:hi]
+        if t % s.every == 0:  # probabilities of a few steps are far from the smallest double
+            c = a.sum(1)
+            a /= c[:, None]
+            log[: hi - lo] += np.log(c)
         if keep:
             alphas[lo:hi] = a
-    return np.log(scale), alphas
+        going = begin[t + 2] - hi if t + 2 <= steps else 0
+        if going < hi - lo:  # some sequences end here
+            c = a[going:].sum(1)
+            log[going : hi - lo] += np.log(c)
+            last[going : hi - lo] = a[going:] / c[:, None]
+    return log, last, alphas
+
+
+def back(m: Model, begin: np.ndarray, e: np.ndarray, s: Settings, end: np.ndarray | None = None) -> np.ndarray:
+    """The backward vectors at all tokens, each in some scale. end: those at the last tokens, if the sequence goes on."""
+    betas = np.ones_like(e)
+    turned, after = np.ascontiguousarray(m.move.T), None
+    for t in range(len(begin) - 2, -1, -1):
+        lo, hi = begin[t], begin[t + 1]
+        b = betas[lo:hi]
+        if after is None and end is not None:
+            b[:] = end
+        elif after is not None:
+            b[: len(after)] = after @ turned
+            if t % s.every == 0:
+                b /= b.sum(1)[:, None]
+        after = e[lo:hi] * b
+    return betas
+
+
+def tally(m: Model, begin: np.ndarray, tokens: np.ndarray, e: np.ndarray, alphas: np.ndarray, betas: np.ndarray, stats: np.ndarray, s: Settings, first: np.ndarray | None = None) -> None:
+    """Adds the expected counts, given both vectors at each token."""
+    states = alphas * betas
+    states /= states.sum(1)[:, None]
+    for k in range(s.states):
+        stats[: s.symbols, k] += np.bincount(tokens, states[:, k], s.symbols)
+    n = int(begin[1])
+    follows = np.arange(n, len(tokens)) - np.repeat(begin[1:-1] - begin[:-2], np.diff(begin)[1:])  # the token before each one
+    before, ahead_ = alphas[follows], e[n:] * betas[n:]
+    if first is None:
+        stats[-1] += states[:n].sum(0)
+    else:
+        before, ahead_ = np.concatenate([first, before]), np.concatenate([e[:n] * betas[:n], ahead_])
+    both = ((before @ m.move) * ahead_).sum(1)
+    stats[s.symbols : s.symbols + s.states] += m.move * (before.T @ (ahead_ / both[:, None]))
 
 
 def expect(m: Model, sequences: list[np.ndarray], stats: np.ndarray, s: Settings) -> None:
     """Adds the expected counts of the sequences to ``stats``."""
-    _, begin, tokens = lanes(sequences)
-    log, alpha = forward(m, begin, tokens, keep=True)
-    emit, scale = m.emit, np.exp(log)
-    moves = np.zeros((s.states, s.states))
-    after = None
-    for t in range(len(begin) - 2, -1, -1):
-        lo, hi = begin[t], begin[t + 1]
-        beta = np.ones((hi - lo, s.states))
-        if after is not None:
-            moves += alpha[lo : lo + len(after)].T @ after
-            beta[: len(after)] = after @ m.move.T
-        after = emit[tokens[lo:hi]] * beta / scale[lo:hi, None]
-        alpha[lo:hi] *= beta  # the states' probabilities given the whole sequence
-    for k in range(s.states):
-        stats[: s.symbols, k] += np.bincount(tokens, alpha[:, k], s.symbols)
-    stats[s.symbols : s.symbols + s.states] += moves * m.move
-    stats[-1] += alpha[: begin[1]].sum(0)
+    for x in sequences:
+        if len(x) > s.block:
+            _expect_long(m, x, stats, s)
+    _, begin, tokens = lanes([x for x in sequences if len(x) <= s.block])
+    if len(tokens):
+        e = m.emit[tokens]
+        tally(m, begin, tokens, e, ahead(m, begin, e, s, keep=True)[2], back(m, begin, e, s), stats, s)
+
+
+def _expect_long(m: Model, x: np.ndarray, stats: np.ndarray, s: Settings) -> None:
+    """One long sequence, block by block: forwards for the vectors at the edges, then backwards with both."""
+    at = [*range(0, len(x), s.block), len(x)]
+    edges: list[np.ndarray | None] = [None]
+    for a, b in zip(at[:-2], at[1:-1], strict=True):
+        edges.append(ahead(m, np.arange(b - a + 1), m.emit[x[a:b]], s, edges[-1])[1])
+    end = None
+    for first, a, b in zip(edges[::-1], at[-2::-1], at[:0:-1], strict=True):
+        begin, e = np.arange(b - a + 1), m.emit[x[a:b]]
+        alphas, betas = ahead(m, begin, e, s, first, keep=True)[2], back(m, begin, e, s, end)
+        tally(m, begin, x[a:b], e, alphas, betas, stats, s, first)
+        end = (e[0] * betas[0]) @ m.move.T
+        end /= end.sum()
+
+
+def likelihood(m: Model, sequences: list[np.ndarray], s: Settings) -> np.ndarray:
+    """The natural logarithm of each sequence's probability."""
+    out = np.empty(len(sequences))
+    size = np.array([len(x) for x in sequences])
+    for k in np.flatnonzero(size > s.block):
+        x, edge, out[k] = sequences[k], None, 0
+        for a in range(0, len(x), s.block):
+            part = x[a : a + s.block]
+            log, edge, _ = ahead(m, np.arange(len(part) + 1), m.emit[part], s, edge)
+            out[k] += log[0]
+    short = np.flatnonzero(size <= s.block)
+    of, begin, tokens = lanes([sequences[k] for k in short])
+    if len(short):
+        out[short[of]] = ahead(m, begin, m.emit[tokens], s)[0]
+    return out
+
+
+def grouped(sequences: list[np.ndarray], most: int = 1 << 18) -> Iterator[list[int]]:
+    """Numbers of sequences of like length, of about ``most`` tokens together or one that is longer."""
+    size = np.array([len(x) for x in sequences])
+    order = np.argsort(size, kind="stable").tolist()
+    own, total = [], 0
+    for k in order:
+        if own and total + size[k] > most:
+            yield own
+            own, total = [], 0
+        own.append(k)
+        total += size[k]
+    if own:
+        yield own
 
 
 def symbols(words: np.ndarray, kinds: np.ndarray, top: np.ndarray, s: Settings) -> np.ndarray:
@@ -256,11 +374,11 @@ def symbols(words: np.ndarray, kinds: np.ndarray, top: np.ndarray, s: Settings)
 
 
 def training(row: dict, top: np.ndarray, s: Settings) -> list[np.ndarray]:
-    """The training texts of a batch as sequences of symbols, of at most ``block`` each."""
+    """The training texts of a batch as sequences of symbols."""
     symbol = symbols(words_of(row), B.unpack(row["classes"], np.uint16), top, s)[B.unpack(row["tokens"], np.uint32)]
     sizes, held = B.unpack(row["sizes"], np.int64), B.unpack(row["held"], bool)
     at = np.concatenate([[0], np.cumsum(sizes)])
-    return [symbol[k : min(k + s.block, b)] for a, b, h in zip(at[:-1], at[1:], held, strict=True) if not h for k in range(a, b, s.block)]
+    return [symbol[a:b] for a, b, h in zip(at[:-1], at[1:], held, strict=True) if not h]
 
 
 def expectations(m: Model, top: np.ndarray, s: Settings):
@@ -269,12 +387,9 @@ def expectations(m: Model, top: np.ndarray, s: Settings):
     def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats, some = np.zeros((s.symbols + s.states + 1, s.states)), False
         for row in B.each(arrived):
-            sequences = sorted(training(row, top, s), key=len)
-            at = 0
-            while at < len(sequences):  # about a quarter of a million tokens at a time
-                n = max(1, (1 << 18) // max(1, len(sequences[min(len(sequences) - 1, at + 512)])))
-                expect(m, sequences[at : at + n], stats, s)
-                at += n
+            sequences = training(row, top, s)
+            for own in grouped(sequences):
+                expect(m, [sequences[k] for k in own], stats, s)
                 some = True
         if some:
             part = TaskContext.get().partitionId()
@@ -314,10 +429,9 @@ def scored(m: Model, top: np.ndarray, mass: np.ndarray, tokens: int, distinct: i
             total = lambda x: np.add.reduceat(x[local], at[:-1])
             score = total(within)
             k = symbol[local]
-            of, begin, steps = lanes([k[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
-            logs, _ = forward(m, begin, steps)
-            lane = np.arange(len(logs)) - np.repeat(begin[:-1], np.diff(begin))
-            score[of] += np.bincount(lane, logs, len(of)) / np.log(10)
+            sequences = [k[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            for own in grouped(sequences):
+                score[own] += likelihood(m, [sequences[j] for j in own], s) / np.log(10)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row["ids"], pa.int64()), pa.array(held), pa.array(sizes), pa.array(total((c > 0).astype(np.int64))), pa.array(np.full(len(sizes), tokens)), pa.array(total(base)), pa.array(score)],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
@@ -326,53 +440,56 @@ def scored(m: Model, top: np.ndarray, mass: np.ndarray, tokens: int, distinct: i
     return run
 
 
-def score(docs: DataFrame, held_out: Column, s: Settings = Settings()) -> DataFrame:
-    """Of each row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. The
-    model learns from the rows that are not ``held_out``."""
+@dataclass
+class Fitted:
+    model: Model
+    #: The frequent words, sorted; the mass of each class; tokens and distinct tokens.
+    top: np.ndarray
+    mass: np.ndarray
+    tokens: int
+    distinct: int
+    corpus: DataFrame
+    #: (batch, shard, counts)
+    counts: DataFrame
+    shards: int
+
+
+def fit(docs: DataFrame, held_out: Column, s: Settings = Settings()) -> Fitted:
+    """The model of the rows of ``docs`` (doc_id, text) that are not ``held_out``, and all rows as batches."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held"))
     with fixed_plan(spark):
-        corpus = settle(source.mapInArrow(tokenised(s), TOKENS).repartition(partitions(spark), "batch"), release=True)
-    size = corpus.select(F.sum(F.octet_length("tokens") + F.octet_length("words"))).first()[0] or 0
-    shards = max(1, -(-2 * size // s.shard))
-    counted = settle(corpus.select("batch", "words", "counts", "classes").mapInArrow(ask(shards), "shard long, batch long, words binary, counts binary, classes binary").groupBy("shard").applyInArrow(count(s), COUNTED), release=True)
-    totals = counted.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
+        corpus = settle(source.mapInArrow(tokenised(s), TOKENS).repartition(partitions(docs), "batch"))
+    size = corpus.agg(F.sum(F.octet_length("tokens") + F.octet_length("words")).alias("bytes"), F.count("*").alias("batches")).first()
+    shards = max(1, -(-2 * (size.bytes or 0) // s.shard))
+    counts, told = counts_of(corpus, size.batches, shards, s)
+    totals = told.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
     # settled first: the shards' candidates meet in a task, and only the chosen ones are sent to the driver
-    top = settle(counted.where("top is not null").select(F.explode("top").alias("t")).select("t.*").where(F.col("word") != 0).orderBy(F.desc("n"), "word").limit(s.frequent)).collect()
-    top_words = np.sort(np.array([r.word for r in top], np.int64).astype(U))
-    mass = counted.where("masses is not null").select("shard", "masses").groupBy(F.pmod("shard", F.lit(64)).alias("part")).applyInArrow(add_masses, "part int, masses binary").collect()
+    best = settle(told.where("top is not null").select(F.explode("top").alias("t")).select("t.*").orderBy(F.col("word") != 0, F.desc("n"), "word").limit(s.frequent + 1)).collect()
+    top = [r for r in best if r.word != 0][: s.frequent]
+    ends = sum(r.n for r in best if r.word == 0)
+    order = np.argsort(np.array([r.word for r in top], np.int64).astype(U))
+    words = np.array([r.word for r in top], np.int64).astype(U)[order]
+    n = np.array([r.n for r in top], np.float64)[order]
+    mass = told.where("masses is not null").select("shard", "masses").groupBy(F.pmod("shard", F.lit(64)).alias("part")).applyInArrow(add_masses, "part int, masses binary").collect()
     mass = np.sum([np.frombuffer(r.masses) for r in mass], axis=0) if mass else np.zeros(s.classes)
-    sample = _sample(corpus, top_words, s)
     # a frequent word is a symbol of its own and no word of its class
     mass = np.maximum(mass - np.bincount([r.kind for r in top], [r.n + 0.5 for r in top], s.classes), 0)
-    counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *sample]), minlength=s.symbols)
-    model = Model.random(s, counts)
-    for _ in range(s.sample_passes if sample else 0):
-        stats = np.zeros((s.symbols + s.states + 1, s.states))
-        expect(model, sample, stats, s)
-        model = Model.of(stats, s)
-    for _ in range(s.passes):
-        model = baum_welch(corpus, model, top_words, s)
-    parts = counted.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("shard", "counts"))).alias("parts"))
-    run = scored(model, top_words, mass, totals.tokens or 0, totals.distinct or 0, shards, s)
-    return corpus.drop("counts").join(parts.hint("merge"), "batch").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    model = Model.random(s, np.concatenate([n, np.zeros(s.frequent - len(n)), mass, [ends]]))
+    for _ in range(s.passes if totals.tokens else 0):
+        model = baum_welch(corpus, model, words, s)
+    return Fitted(model, words, mass, totals.tokens or 0, totals.distinct or 0, corpus, counts, shards)
+
+
+def score(docs: DataFrame, held_out: Column, s: Settings = Settings()) -> DataFrame:
+    """Of each row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. The
+    model learns from the rows that are not ``held_out``."""
+    f = fit(docs, held_out, s)
+    parts = f.counts.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("shard", "counts"))).alias("parts"))
+    run = scored(f.model, f.top, f.mass, f.tokens, f.distinct, f.shards, s)
+    return f.corpus.drop("counts").join(parts.hint("merge"), "batch").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def add_masses(t: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x.as_py()) for x in t.column("masses"))
     return pa.table([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "masses"])
-
-
-def _sample(corpus: DataFrame, top: np.ndarray, s: Settings) -> list[np.ndarray]:
-    """Training sequences for the first guess, ``sample`` tokens at most, from the batches with the smallest hashes."""
-    # the numbers first: only four batches, not four of each partition, are sent to the driver
-    chosen = [r.batch for r in corpus.select("batch").orderBy(F.xxhash64("batch"), "batch").limit(4).collect()]
-    rows = corpus.select("batch", "held", "sizes", "words", "classes", "tokens").where(F.col("batch").isin(chosen)).collect() if chosen else []
-    rows.sort(key=lambda r: r.batch)
-    out = []
-    for row in rows:
-        own = training(row.asDict(), top, s)
-        own = [own[k] for k in np.random.default_rng(s.seed).permutation(len(own))]
-        keep = int(np.searchsorted(np.cumsum([len(x) for x in own]), s.sample // len(rows), "right"))
-        out += own[:keep]
-    return out

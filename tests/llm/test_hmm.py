@@ -10,7 +10,7 @@ import pytest
 from siltstone.llm import hmm as H
 from siltstone.llm.common import fold
 
-SMALL = H.Settings(states=3, frequent=6, classes=5, sample=500, block=7, batch=2000, shard=2000)
+SMALL = H.Settings(states=3, frequent=6, classes=5, passes=3, block=4, every=2, batch=2000, shard=2000, fan=4)
 
 
 def paths(m, seq):
@@ -28,17 +28,14 @@ def sequences():
 
 
 def test_forward_and_expected_counts_match_all_paths():
+    """Some sequences are longer than a block."""
     m = H.Model.random(SMALL, np.arange(SMALL.symbols, dtype=float))
-    of, begin, tokens = H.lanes(sequences())
-    logs, _ = H.forward(m, begin, tokens)
-    lane = np.arange(len(logs)) - np.repeat(begin[:-1], np.diff(begin))
-    got = np.bincount(lane, logs)
+    got = H.likelihood(m, sequences(), SMALL)
     stats = np.zeros((SMALL.symbols + SMALL.states + 1, SMALL.states))
     want = np.zeros_like(stats)
-    for at, k in enumerate(of):
-        seq = sequences()[k]
+    for k, seq in enumerate(sequences()):
         total = sum(p for _, p in paths(m, seq))
-        assert got[at] == pytest.approx(math.log(total))
+        assert got[k] == pytest.approx(math.log(total))
         for path, p in paths(m, seq):
             want[-1, path[0]] += p / total
             for t, z in enumerate(path):
@@ -49,6 +46,19 @@ def test_forward_and_expected_counts_match_all_paths():
     assert np.allclose(stats, want)
 
 
+def test_blocks_and_scalings_change_nothing():
+    rng = np.random.default_rng(5)
+    s = H.Settings(states=4, frequent=30, classes=9)
+    m = H.Model.random(s, rng.integers(0, 1000, s.symbols).astype(float))
+    data = [rng.integers(0, s.symbols, n) for n in (1, 300, 17, 300, 50, 299)]
+    plain = np.zeros((s.symbols + s.states + 1, s.states))
+    H.expect(m, data, plain, s)
+    for block, every in ((16, 1), (50, 7), (299, 12)):
+        other, t = np.zeros_like(plain), H.Settings(states=4, frequent=30, classes=9, block=block, every=every)
+        H.expect(m, data, other, t)
+        assert np.allclose(plain, other) and np.allclose(H.likelihood(m, data, s), H.likelihood(m, data, t))
+
+
 def test_passes_raise_the_likelihood():
     rng = np.random.default_rng(0)
     data = [np.where(rng.random(40) < 0.9, 3 * (k % 2) + rng.integers(0, 3, 40), rng.integers(0, 12, 40)) for k in range(60)]
@@ -56,8 +66,7 @@ def test_passes_raise_the_likelihood():
     last = -np.inf
     for _ in range(6):
         stats = np.zeros((SMALL.symbols + SMALL.states + 1, SMALL.states))
-        _, begin, tokens = H.lanes(data)
-        now = H.forward(m, begin, tokens)[0].sum()
+        now = H.likelihood(m, data, SMALL).sum()
         assert now > last - 1
         last = now
         H.expect(m, data, stats, SMALL)
@@ -77,8 +86,6 @@ def rows():
 def test_scores(spark, s):
     df = spark.createDataFrame([(d, t, 5, "x") for d, t in rows()], "doc_id long, text string, words int, held string").repartition(5)
     got = H.score(df, fold("doc_id", 5) == 1, s).collect()
-    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
-    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
     c = Counter(w for d, t in rows() if not held(d) for w in tokens(t))
     n, v = sum(c.values()), len(c)
     want = sorted((str(d), held(d), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t)), 4)) for d, t in rows())
@@ -88,12 +95,103 @@ def test_scores(spark, s):
     assert all(r.score < 0 for r in got)
 
 
-def test_probabilities_of_one_token_texts_sum_to_one(spark):
-    """A text's first token: every known word, one unseen word of each class, and the end."""
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(["aa bb cc aa", "bb aa dd", "ee"])], "doc_id long, text string")
-    s = H.Settings(states=2, frequent=2, classes=4, sample=100)
-    seen = {r.doc_id: r.score for r in H.score(df, fold("doc_id", 5) == 7, s).collect()}
-    assert len(seen) == 3 and all(x < 0 for x in seen.values())
+def held(d):
+    return d is not None and zlib.crc32(str(d).encode()) % 5 == 1
+
+
+def tokens(text):
+    return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), None]
+
+
+def word_hash(word):
+    """The operator's own name of a word; all else here is worked out anew."""
+    return int(max(H.Words(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]), 0, 1).hashes()[0], 1))
+
+
+def word_class(word, classes):
+    """A hash of the last three bytes."""
+    out = 0
+    for b in [*word.encode()[::-1][:3], None, None][:3]:
+        out = (out * 1_000_003 + (0 if b is None else int(H.BYTE64[b]))) % 2**64
+    return int(H.mix(np.array([out], np.uint64))[0] % np.uint64(classes))
+
+
+def brute_scores(data, s):
+    """The whole operator in plain steps: counts, symbols, passes and forward probabilities, one text at a time."""
+    train = [tokens(t) for d, t in data if not held(d)]
+    c = Counter(w for ws in train for w in ws)
+    signed = lambda w: (word_hash(w) + 2**63) % 2**64 - 2**63
+    top = sorted((w for w in c if w is not None), key=lambda w: (-c[w], signed(w)))[: s.frequent]
+    names = {w: k for k, w in enumerate(sorted(top, key=word_hash))}
+    mass = np.zeros(s.classes)
+    for w, n in c.items():
+        if w is not None and w not in names:
+            mass[word_class(w, s.classes)] += n + 0.5
+    symbol = lambda w: s.symbols - 1 if w is None else names.get(w, s.frequent + word_class(w, s.classes))
+    counts = np.zeros(s.symbols)
+    counts[: len(names)] = [c[w] for w in sorted(top, key=word_hash)]
+    counts[s.frequent : s.frequent + s.classes] = mass
+    counts[-1] = c[None]
+    m = H.Model.random(s, counts)
+    for _ in range(s.passes):
+        stats = np.zeros((s.symbols + s.states + 1, s.states))
+        for ws in train:
+            o = [symbol(w) for w in ws]
+            a, b = [m.start * m.emit[o[0]]], [np.ones(s.states)]
+            a[0] /= a[0].sum()
+            for k in o[1:]:
+                v = (a[-1] @ m.move) * m.emit[k]
+                a.append(v / v.sum())
+            for k in o[:0:-1]:
+                v = m.move @ (m.emit[k] * b[-1])
+                b.append(v / v.sum())
+            b.reverse()
+            for t, k in enumerate(o):
+                g = a[t] * b[t]
+                stats[k] += g / g.sum()
+                if t == 0:
+                    stats[-1] += g / g.sum()
+                else:
+                    x = a[t - 1][:, None] * m.move * (m.emit[k] * b[t])[None, :]
+                    stats[s.symbols : s.symbols + s.states] += x / x.sum()
+        m = H.Model.of(stats, s)
+    out = []
+    for d, t in data:
+        log, a = 0.0, None
+        for w in tokens(t):
+            a = (m.start if a is None else a @ m.move) * m.emit[symbol(w)]
+            log += math.log10(a.sum())
+            a = a / a.sum()
+            if w is not None and w not in names:
+                log += math.log10((c[w] + 0.5) / (mass[word_class(w, s.classes)] + 0.5))
+        out.append((str(d), round(log, 5)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("s", [SMALL, H.Settings(states=4, frequent=20, classes=7, passes=2, batch=3000, shard=1500)])
+def test_scores_equal_a_plain_computation(spark, s):
+    data = [(d, t if d != 304 else "b2y " * 200) for d, t in rows()[200:]]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = sorted((str(r.doc_id), round(r.score, 5)) for r in H.score(df, fold("doc_id", 5) == 1, s).collect())
+    assert [d for d, _ in got] == [d for d, _ in brute_scores(data, s)]
+    assert np.allclose([x for _, x in got], [x for _, x in brute_scores(data, s)], atol=2e-5)
+
+
+def test_probabilities_of_first_words_sum_to_one(spark):
+    """A text's first token: every known word, one unseen word of each class, and the end. What follows is summed out, so
+    the probabilities of the words alone are those of the texts divided by that of the end after them."""
+    s = H.Settings(states=2, frequent=2, classes=4, passes=2)
+    train = ["aa bb cc aa", "bb aa dd", "ee"]
+    f = H.fit(spark.createDataFrame(list(enumerate(train)), "doc_id long, text string"), fold("doc_id", 5) == 7, s)
+    c = Counter(w for t in train for w in t.split())
+    first = lambda k: float(f.model.start @ f.model.emit[k])
+    total = first(s.symbols - 1) + sum(first(k) for k in range(len(f.top)))
+    frequent = {int(w) for w in f.top}
+    for k in range(s.classes):
+        within = [(c[w] + 0.5) / (f.mass[k] + 0.5) for w in c if word_hash(w) not in frequent and word_class(w, s.classes) == k]
+        assert sum(within) + 0.5 / (f.mass[k] + 0.5) == pytest.approx(1)
+        total += first(s.frequent + k) * (sum(within) + 0.5 / (f.mass[k] + 0.5))
+    assert total == pytest.approx(1)
 
 
 def test_empty_table(spark):
