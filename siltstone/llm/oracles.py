@@ -13,7 +13,7 @@ s AS (
   FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
   WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
-SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE n <= 20
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score, CAST(score AS VARCHAR) AS score_text FROM r WHERE n <= 20
 """
 
 #: Conversations as texts; one that starts another is dropped.
