@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import neardup, packing, pii, quality, suffix
-from siltstone.llm.common import ensure_checkpoints, importable, table
+from siltstone.llm.common import delete, dropping, importable, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -74,11 +74,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written to the shared checkpoint folder and read again."""
-    ensure_checkpoints(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each one's rows are written to the shared checkpoint folder and read again. What a stage
+    kept, and the steps inside a stage, are deleted once the next rows are written."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        here = f"{folder}/{k}-{name}"
+        with dropping(spark):
+            stage(spark, docs, sf_dir).write.parquet(here)
+        docs = spark.read.parquet(here)
+        if before:
+            delete(spark, before)
+        before = here
     return docs
