@@ -12,7 +12,7 @@ different ones. A term and an entity must meet ``support`` times: in a text, as
 entity of every text discloses nothing. Terms of at least ``remove`` are removed wherever they are in a text with the
 entity, those of at least ``generalise`` replaced by their kind.
 
-How it is distributed. The patterns need one pass. Only distinct texts with entities that occur ``support`` times go on;
+How it is distributed. The patterns need one pass, whose spans are written and used from then on. Only distinct texts with entities that occur ``support`` times go on;
 entities of the same texts are one class, so that a list of addresses does not meet all its terms address by address.
 The corpus's texts are made distinct by a shuffle; their term counts are summed in each task before the next one, and
 joined to the candidates by shuffle; nothing is broadcast by hand and no group is collected but the spans of one document.
@@ -110,10 +110,10 @@ VALID = {
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_text`` (null: empty) and, for each kind, ``_<kind>``: the array of its (value, s, e)."""
+    """``docs`` with ``_text`` (null: empty) in place of its text and, for each kind, ``_<kind>``: the array of its (value, s, e)."""
     none = F.array().cast("array<string>")
     hint = {"email": "@", "phone": "+"}
-    out = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).drop("text")
     found = {k: F.regexp_extract_all("_text", F.lit(p), F.lit(0)) for k, p in PATTERNS.items()}
     out = out.select("*", *(F.when(F.contains("_text", F.lit(hint[k])), f).otherwise(none).alias(f"_m_{k}") if k in hint else f.alias(f"_m_{k}") for k, f in found.items()))
     empty = F.array().cast("array<struct<value:string,s:int,e:int>>")
@@ -166,20 +166,24 @@ def _any() -> Column:
     return F.greatest(*(F.size(f"_{k}") for k in PATTERNS)) > 0
 
 
-def _with_terms(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """Rows that have spans, with ``_terms``; and the others as they are."""
-    marked = base(docs)
-    found = settle(marked.where(_any()).withColumn("_row", F.monotonically_increasing_id()))
+def _with_terms(docs: DataFrame, s: Settings, texts_too: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows that have spans, with ``_terms``; and the others. The patterns go over each text once: their spans are settled,
+    with ``texts_too`` and all texts, else those that have spans."""
+    marked = base(docs).withColumn("_row", F.monotonically_increasing_id())
+    if not texts_too:
+        marked = marked.withColumn("_text", F.when(_any(), F.col("_text")))
+    marked = settle(marked)
+    found = marked.where(_any())
     none = F.array().cast("array<struct<s:int,e:int,kind:string>>")
     # a term inside a base span, as of two neighbouring entities, is no span of its own
     inside = lambda x: F.exists(F.concat(*(F.col(f"_{k}") for k in PATTERNS)), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    terms = found.join(disclosing(found, docs, s), "_row", "left").withColumn("_terms", F.filter(F.coalesce("terms", none), lambda x: ~inside(x))).drop("terms", "_row")
+    terms = found.join(disclosing(found, docs, s), "_row", "left").withColumn("_terms", F.filter(F.coalesce("terms", none), lambda x: ~inside(x))).drop("terms")
     return terms, marked.where(~_any()).withColumn("_terms", none)
 
 
 def report(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Of each row of ``docs`` (doc_id, text): doc_id, n_<kind>, base_sha256, spans."""
-    some, others = _with_terms(docs.select("doc_id", "text"), s)
+    some, others = _with_terms(docs.select("doc_id", "text"), s, False)
     span = lambda kind: lambda x: F.concat_ws(":", F.lit(kind), x["s"], x["e"])
     of = lambda kind: lambda x: x["kind"] == kind
     named = F.concat(*(F.transform(f"_{k}", span(k)) for k in PATTERNS))
@@ -195,8 +199,9 @@ def sanitise(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``docs`` with spans in its text replaced: base spans and generalised terms by ``<kind>``, disclosing terms by
     nothing. Overlapping spans are replaced as one. All other columns and all other texts stay as they are."""
     # the input's columns travel as one, so that none of their names clashes with ours
-    packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all"))
-    some, others = _with_terms(packed, s)
+    others_ = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    packed = docs.select("text", F.struct(F.col("text").isNull().alias("_none"), F.struct(*others_ or [F.lit(0)]).alias("_row")).alias("_all"))
+    some, others = _with_terms(packed, s, True)
     by = lambda kind: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"<{kind}>").alias("by"))
     named = [F.transform(f"_{k}", by(k)) for k in PATTERNS]
     terms = F.transform("_terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["kind"] == "term", F.lit("")).otherwise(F.lit("<term>")).alias("by")))
@@ -211,5 +216,5 @@ def sanitise(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         )
 
     done = F.aggregate(spans, start, add, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring("_text", a["at"] + 1, F.length("_text"))))
-    kept = [F.col("text") if c == "text" else F.col("_all").getField(c).alias(c) for c in docs.columns]
-    return some.withColumn("text", done).select(*kept).union(others.select(*kept))
+    kept = lambda text: [F.when(~F.col("_all._none"), text).alias("text") if c == "text" else F.col("_all").getField("_row").getField(c).alias(c) for c in docs.columns]
+    return some.select(*kept(done)).union(others.select(*kept(F.col("_text"))))

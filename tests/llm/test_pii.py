@@ -1,5 +1,7 @@
 import hashlib
+import math
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -104,3 +106,58 @@ def test_sanitise_keeps_columns_and_merges_overlaps(spark):
     df = spark.createDataFrame([(1, "x +4222222222222 y", "p", 2), (None, None, None, None)], "doc_id long, text string, _text string, terms int")
     assert sorted(map(tuple, pii.sanitise(df).collect()), key=str) == [(1, "x <phone> y", "p", 2), (None, None, None, None)]
     assert pii.report(df.limit(0)).count() == 0
+
+
+def brute_terms(rows, s):
+    """Of each row its disclosing spans, from the definition."""
+    distinct = {t for _, t in rows if t is not None}
+    words = {t: [w.lower() for w in re.findall(r"[^\W_]+", t)] for t in distinct}
+    c_t = Counter(w for t in distinct for w in set(words[t]))
+    held = defaultdict(dict)  # entity -> text -> how often
+    for t in distinct:
+        for e, n in Counter(f"{k}:{t[a:b].lower()}" for k, a, b in brute(t)).items():
+            held[e][t] = n
+    kinds = {t: {} for t in distinct}
+    total = len(distinct)
+    for texts_ in held.values():
+        if sum(texts_.values()) < s.support or len(texts_) == total:
+            continue
+        for w in {w for t in texts_ for w in words[t]}:
+            both = [t for t in texts_ if w in words[t]]
+            if sum(min(words[t].count(w), texts_[t]) for t in both) < s.support:
+                continue
+            told = math.log2(len(both) * total / (len(texts_) * c_t[w])) / math.log2(total / len(texts_))
+            if told >= s.generalise:
+                for t in both:
+                    kinds[t][w] = "term" if told >= s.remove or kinds[t].get(w) == "term" else "quasi"
+    out = {}
+    for d, t in rows:
+        spans = [(kinds[t][m.group().lower()], m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t or "") if t is not None and m.group().lower() in kinds[t]]
+        inside = lambda a, b, t=t: any(x < b and a < y for _, x, y in brute(t))
+        out[d] = sorted((k, a, b) for k, a, b in spans if not inside(a, b))
+    return out
+
+
+def test_disclosure_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    common, rare = [f"w{k}" for k in range(60)], [f"Rare{k}" for k in range(25)]
+    rows = [(k, " ".join(rng.choice(common, 25))) for k in range(60)]
+    for k in range(120):
+        who = int(rng.integers(8))
+        words = [*rng.choice(common, 20), *rng.choice(rare[3 * who : 3 * who + 4], 2), rare[int(rng.integers(25))]]
+        mails = [f"p{who}@corp.example"] * int(rng.integers(1, 4)) + ([f"q{who}@corp.example"] if who % 2 else [])
+        rows.append((100 + k, " ".join(map(str, rng.permutation([*words, *mails])))))
+    rows += [(300 + k, rows[70][1]) for k in range(20)] + [(400, None), (401, ""), (402, "10.1.2.3 Rare1 10.1.2.3 rare1 10.1.2.3 RARE1")]
+    want = brute_terms(rows, pii.Settings())
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    spans = {d: sorted((k, int(a), int(b)) for k, a, b in (x.split(":") for x in t.split(",") if x) if k in ("term", "quasi")) for d, t in got.items()}
+    assert spans == want
+    assert {k for own in want.values() for k, _, _ in own} == {"term", "quasi"}
+
+
+def test_the_driver_table_has_disclosing_terms(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = {d: len(own) for d, own in brute_terms(rows, pii.Settings()).items() if own}
+    got = {r.doc_id: len([x for x in r.spans.split(",") if x.split(":")[0] in ("term", "quasi")]) for r in pii.report(docs).collect()}
+    assert {d: n for d, n in got.items() if n} == want
