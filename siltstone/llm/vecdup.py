@@ -9,12 +9,15 @@ keys a Hamming table. At an angle of a two signs differ with probability a/pi, s
 shares none under ``miss``. The angle is that after centring: linked unit vectors are at most d = sqrt(2 - 2 t) apart, so
 a pair of which one is at least r > d from the mean is within asin(d / r). r is chosen by cost from the sample's
 distances; all vectors nearer to the mean than r share one more bucket for each label, where each pair is compared.
-Every pair of a bucket is reranked with the original vectors.
+Every pair of a bucket is reranked with the original vectors, which are scaled by a power of two first, so that neither
+very large nor very small components leave the range of doubles.
 
-How it is distributed. Equal vectors of a label are one class with a weight. Keys that one class alone has are dropped.
-A bucket is dealt in blocks of at most about ``block`` classes, pairs of which meet in tasks of fixed size, as matrix
-products; a pair that several tables find counts in the first of them only. What leaves a task is a count for each class
-and one edge for each class to its part of the block, never pairs. Only the rotations are broadcast.
+How it is distributed. Equal vectors of a label are one class with a weight. Keys that one class alone has are dropped,
+and so are buckets with the same classes as a bucket of an earlier table, as of a tight group. A bucket is dealt in blocks
+of at most about ``block`` classes, pairs of which meet in tasks of fixed size, as matrix products; a pair that several
+tables find counts in the first of them only, and blocks whose classes all share an earlier table are not multiplied.
+What leaves a task is a count for each class and one edge for each class to its part of the block, never pairs. Only the
+rotations are broadcast.
 
 Nulls and edges: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label,
 link with nothing and stay (component: their own id); vectors of different lengths are not linked; rows with a null id
@@ -46,10 +49,16 @@ class Settings:
     #: Vectors from which rotations are learned, at most.
     sample: int = 4096
     rounds: int = 30
-    block: int = 512
+    block: int = 256
     seed: int = 17
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. They are first scaled exactly, by a power of two, to a largest component near 1."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def rotations(x: np.ndarray, bits: int, n: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """The mean, and n learned maps to ``bits`` signed coordinates side by side."""
     mean = x.mean(0)
@@ -107,7 +116,7 @@ def signed(maps: dict[int, tuple], s: Settings):
                 at = np.flatnonzero(dims == dim)
                 part = b.take(pa.array(at))
                 x = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                x = units(x)
                 mean, maps_, width, per_code, r_ = maps[int(dim)]
                 bits = (x - mean) @ maps_ >= 0
                 size = maps_.shape[1] // (per_code * width) if maps_.shape[1] else 0
@@ -146,6 +155,9 @@ def compare(s: Settings):
         weight = np.array([r["weight"] for r in rows])
         x = np.stack([np.frombuffer(r["unit"]) for r in rows])
         keys = np.array([r["keys"] for r in rows])
+        table = int((keys[0] == key).argmax())
+        if (keys[:, :table] == keys[0, :table]).all(0).any():  # all pairs meet in an earlier table
+            return [], [], []
         linked = x @ x.T >= s.threshold
         np.fill_diagonal(linked, False)
         if i != j:
@@ -195,16 +207,19 @@ def dedup(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     maps = {}
     for dim, n in sizes.items():
         sample = classes.where(F.size("v") == dim).orderBy(F.xxhash64("cls", F.lit(3))).limit(s.sample).select("v").collect()
-        x = np.array([r.v for r in sample])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = units(np.array([r.v for r in sample]))
         if len(x) < dim:  # too few vectors to learn from: any rotation
             x = np.concatenate([x, np.random.default_rng(s.seed).normal(size=(2 * dim, dim)) / math.sqrt(dim)])
         r, angle = near_mean(x, n, s)
         width, per_code, codes = plan(n, dim, s, angle)
         maps[dim] = (*rotations(x, dim, codes, s), width, per_code, r)
     keyed = settle(classes.select("cls", "weight", "label", "v").mapInArrow(signed(maps, s), "cls long, weight long, keys array<long>, unit binary"))
-    buckets = keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / s.block).cast("int").alias("blocks"))
-    members = keyed.select("cls", F.explode("keys").alias("key")).join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("cls", "key"), F.col("blocks")).cast("int"))
+    each = keyed.select("cls", F.posexplode("keys").alias("table", "key"))
+    name = F.xxhash64("cls", F.lit(13))
+    buckets = each.groupBy("key").agg(F.min("table").alias("table"), F.count("*").alias("n"), F.bit_xor("cls").alias("x"), F.bit_xor(name).alias("y")).where("n > 1")
+    # of buckets with the same classes the first table's one is kept: in the others no pair would be found first
+    buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("table", "key")).alias("b")).select("b.key", F.ceil(F.col("n") / s.block).cast("int").alias("blocks"))
+    members = each.select("cls", "key").join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("cls", "key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = members.select("key", "cls", "block", other).select("key", "cls", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     meeting = pairs.join(keyed.hint("merge"), "cls").repartition(partitions(vectors), "key", "i", "j").sortWithinPartitions("key", "i", "j")

@@ -102,3 +102,29 @@ def test_angles_after_centring_decide_the_tables():
     r, angle = V.near_mean(x, 10**9, V.Settings())
     assert r < math.inf and angle >= math.asin(0.2 / r) - 1e-9 > math.acos(0.98)
     assert V.near_mean(np.tile(x[:1], (100, 1)), 10**6, V.Settings())[0] == math.inf
+
+
+def test_very_small_and_very_large_components(spark):
+    rng = np.random.default_rng(9)
+    plain = rng.normal(size=(40, 4))
+    close = plain + rng.normal(scale=0.01, size=plain.shape)
+    data = [v.tolist() for v in plain] + [(v * 1e-200).tolist() for v in close[:20]] + [(v * 1e200).tolist() for v in close[20:]]
+    data += [[5e-324, 0.0, 0.0, 0.0], [1.7e308, 1e300, -1.7e308, 0.0], [1.7e308, 1e300, -1.7e308, 0.0], [1.0, 0.0, 0.0, 0.0]]
+    df = spark.createDataFrame([(k, v, 1, "x") for k, v in enumerate(data)], SCHEMA.replace("float", "double"))
+    got = {r.vec_id: r.component_id for r in V.dedup(df).collect()}
+    x = V.units(np.array(data))
+    want = list(range(len(data)))
+    linked = x @ x.T >= 0.98
+    for _ in range(len(data)):
+        want = [min(want[j] for j in np.flatnonzero(linked[k])) for k in range(len(data))]
+    assert got == dict(enumerate(want)) and all(want[40 + k] <= k for k in range(40)) and want[80] == want[83] and want[81] == want[82]
+
+
+def test_a_tight_group_is_compared_once(spark):
+    """Of the tables in which the group shares a bucket only one is dealt to tasks; all links are still found."""
+    rng = np.random.default_rng(10)
+    centre = rng.normal(size=16)
+    data = [(k, (centre + rng.normal(scale=1e-4, size=16)).tolist(), 1, "x") for k in range(300)]
+    data += [(1000 + k, rng.normal(size=16).tolist(), 1, "x") for k in range(300)]
+    got = {r.vec_id: r.n_links for r in V.dedup(spark.createDataFrame(data, SCHEMA), V.Settings(block=64)).collect()}
+    assert all(got[k] == 299 for k in range(300))
