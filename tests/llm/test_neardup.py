@@ -74,3 +74,12 @@ def test_survivors_keep_columns(spark):
 
 def test_empty_table(spark):
     assert N.dedup(spark.createDataFrame([], SCHEMA)).rows.count() == 0
+
+
+def test_words_of_one_letter_pattern_have_names_of_their_own(spark):
+    """Thue-Morse words and their complements agree in every polynomial hash modulo a power of two."""
+    word = lambda n: "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    texts = [t for n in (64, 512, 1024, 2048, 4096) for t in (word(n), word(n).translate(str.maketrans("ab", "ba")))]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100, texts[6].upper())]
+    got = {r.doc_id: r.component_id for r in N.dedup(spark.createDataFrame(rows, "doc_id long, text string")).rows.collect()}
+    assert got == {**{k: k for k in range(len(texts))}, 100: 6}
