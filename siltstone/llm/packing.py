@@ -17,7 +17,7 @@ no rows. Columns of the input whose names clash with the results are not read un
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,43 +38,81 @@ class Settings:
     group_rows: int = 20_000
 
 
+class Shelf:
+    """Open bins with the same full sources, by what is left in them."""
+
+    def __init__(self):
+        self.residuals: list[int] = []  # distinct, ascending
+        self.bins: dict[int, list[int]] = {}  # residual -> bins, ascending
+
+    def add(self, residual: int, b: int) -> None:
+        if residual not in self.bins:
+            insort(self.residuals, residual)
+            self.bins[residual] = []
+        insort(self.bins[residual], b)
+
+    def remove(self, residual: int, b: int) -> None:
+        here = self.bins[residual]
+        del here[bisect_left(here, b)]
+        if not here:
+            del self.bins[residual]
+            del self.residuals[bisect_left(self.residuals, residual)]
+
+
 class Bins:
-    """Bins ordered by residual, each with its bitmaps of clusters and of sources (one plane for each allowed document)."""
+    """Bins ordered by residual, each with its bitmaps of clusters and of sources (one plane for each allowed document).
+
+    Bins with the same bitmap of full sources share a shelf, and a shelf on which the item's source is full is passed over
+    as a whole; so a source that fills most bins costs no walk through them. Items that are equal in length, cluster and
+    source follow each other, and each one's search goes on where the one before ended: what was incompatible still is,
+    and what was filled since holds the cluster."""
 
     def __init__(self, capacity: int, per_source: int):
         self.capacity, self.planes = capacity, per_source
-        self.residuals: list[int] = []  # distinct residuals of open bins, ascending
-        self.open: dict[int, list[int]] = {}  # residual -> bins, oldest first
+        self.shelves: dict[int, Shelf] = {}  # bitmap of full sources -> shelf
         self.clusters: list[int] = []
         self.sources: list[list[int]] = []
         self.left: list[int] = []
         self.bits: dict[str, dict] = {"cluster": {}, "source": {}}
+        self.last, self.reached = None, {}
 
     def mask(self, kind: str, value) -> int:
         """The bitmap of one cluster or source; 0 for null, which conflicts with nothing."""
         known = self.bits[kind]
         return 0 if value is None else 1 << known.setdefault(value, len(known))
 
-    def compatible(self, b: int, cluster: int, source: int) -> bool:
-        return not self.clusters[b] & cluster and not self.sources[b][-1] & source
+    def successor(self, full: int, length: int, cluster: int) -> tuple[int, int] | None:
+        """On a shelf, the smallest sufficient residual with a bin that lacks the cluster, and its first such bin."""
+        shelf = self.shelves[full]
+        residual, after = self.reached.get(full, (length, -1))
+        for at in range(bisect_left(shelf.residuals, residual), len(shelf.residuals)):
+            r = shelf.residuals[at]
+            here = shelf.bins[r]
+            for k in range(bisect_right(here, after) if r == residual else 0, len(here)):
+                if not self.clusters[here[k]] & cluster:
+                    if cluster:
+                        self.reached[full] = (r, here[k] - 1)
+                    return r, here[k]
+        if cluster:
+            self.reached[full] = (self.capacity + 1, -1)
+        return None
 
     def place(self, length: int, cluster: int, source: int) -> tuple[int, int]:
-        """The bin and the offset in it; cluster and source are bitmaps of one bit or 0."""
-        at = bisect_left(self.residuals, length)
-        while at < len(self.residuals):
-            here = self.open[self.residuals[at]]
-            for k, b in enumerate(here):
-                if self.compatible(b, cluster, source):
-                    del here[k]
-                    if not here:
-                        del self.open[self.residuals[at]]
-                        del self.residuals[at]
-                    return b, self._fill(b, length, cluster, source)
-            at += 1
-        self.clusters.append(0)
-        self.sources.append([0] * self.planes)
-        self.left.append(self.capacity)
-        b = len(self.left) - 1
+        """The bin and the offset in it; cluster and source are bitmaps of one bit or 0. Of equally tight bins the first."""
+        if self.last != (length, cluster, source):
+            self.last, self.reached = (length, cluster, source), {}
+        found = [x for full in self.shelves if not full & source and (x := self.successor(full, length, cluster))]
+        if found:
+            r, b = min(found)
+            full = self.sources[b][-1]
+            self.shelves[full].remove(r, b)
+            if not self.shelves[full].residuals:
+                del self.shelves[full]
+        else:
+            b = len(self.left)
+            self.clusters.append(0)
+            self.sources.append([0] * self.planes)
+            self.left.append(self.capacity)
         return b, self._fill(b, length, cluster, source)
 
     def _fill(self, b: int, length: int, cluster: int, source: int) -> int:
@@ -85,18 +123,20 @@ class Bins:
             if not self.sources[b][plane] & source:
                 self.sources[b][plane] |= source
                 break
-        if r := self.left[b]:
-            if r not in self.open:
-                insort(self.residuals, r)
-                self.open[r] = []
-            self.open[r].append(b)
+        if self.left[b]:
+            self.shelves.setdefault(self.sources[b][-1], Shelf()).add(self.left[b], b)
         return offset
 
 
+def order(s: Settings):
+    """The order of packing: remainders from long to short; copies of a cluster and source follow each other."""
+    return lambda r: (-(r[2] % s.capacity), -r[2], r[3] is None, r[3] or 0, r[1] is None, r[1] or "", r[0] is None, r[0] or 0)
+
+
 def pack_group(rows: list[tuple], s: Settings, name: str) -> list[tuple]:
     """rows: (doc_id, source, length, cluster). Rows of SCHEMA."""
     bins, out, full = Bins(s.capacity, s.per_source), [], 0
-    rows = sorted(rows, key=lambda r: (-(r[2] % s.capacity), -r[2], r[0] is None, r[0] or 0, r[3] or 0, r[1] or ""))
+    rows = sorted(rows, key=order(s))
     for doc_id, source, length, cluster in rows:
         if not length:
             out.append((doc_id, source, 0, 0, None, None))
