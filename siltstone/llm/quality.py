@@ -3,14 +3,16 @@
 Every text is the mean of learned vectors, one for each hashed word, pair of neighbouring words and character n-gram
 (over UTF-8 bytes, inside a word and its two borders); a softmax layer over that mean gives the score. Both are trained
 by stochastic gradient descent in numpy, on the driver, on at most ``Settings.sample`` labelled rows (those with the
-smallest hashes of their ids), so that the cost of training does not depend on the corpus. Scoring is one pass without
+smallest hashes of their ids), so that the cost of training does not depend on the corpus; executors turn these rows into features,
+and the driver gets at most ``2**bits`` numbers a row, however long its text. Scoring is one pass without
 a shuffle: as everything after the lookup is linear, the vectors times the output layer are broadcast as one number per
 bucket (``2**bits`` doubles, 2 MB), and a text's score is the mean of its numbers.
 
 Nulls and edges: a null or empty text has no features and gets the score of the bias alone; a null id is of no fold and
 is scored as held out of nothing; labels that are null, not 0 or 1, or of ids without a document are not learned; of
-repeated labels one is kept. Repeated rows are scored each. Without any label every score is 0.5. Columns of documents
-other than doc_id and text are never read.
+repeated labels one is kept. Repeated rows are scored each. Without any label every score is 0.5, and ``learned`` is false,
+as it is with labels of one kind only. Columns of documents other than doc_id and text are never read; a kept column named
+quality_score gives way to the score.
 """
 
 from __future__ import annotations
@@ -80,6 +82,8 @@ class Model:
     output: np.ndarray
     bias: np.ndarray
     settings: Settings
+    #: Whether it learned from labels of both kinds.
+    learned: bool = False
 
     def projected(self) -> np.ndarray:
         """For each bucket the difference of the two classes' logits."""
@@ -88,21 +92,26 @@ class Model:
 
 def bags(values: list[str], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text its distinct buckets and their shares of the text's features."""
+    return bags_of(pa.array(values, pa.large_string()), s)
+
+
+def bags_of(column: pa.Array, s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
-    buf, offsets = texts(pa.array(values, pa.large_string()))
-    for i in range(len(values)):
+    buf, offsets = texts(column)
+    for i in range(len(column)):
         f, _ = features(buf, offsets, i, i + 1, s)
         ids, n = np.unique(np.concatenate(f), return_counts=True)
         out.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     return out
 
 
-def train(values: list[str], labels: list[int], s: Settings = Settings()) -> Model:
+def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], s: Settings = Settings()) -> Model:
+    """docs: the features of each text, as made by ``bags``."""
     rng = np.random.default_rng(s.seed)
-    model = Model(rng.uniform(-1, 1, (1 << s.bits, s.dim)).astype(np.float32) / s.dim, np.zeros((s.dim, 2), np.float32), np.zeros(2, np.float32), s)
-    if not values:
+    model = Model(rng.uniform(-1, 1, (1 << s.bits, s.dim)).astype(np.float32) / s.dim, np.zeros((s.dim, 2), np.float32), np.zeros(2, np.float32), s, len(set(labels)) == 2)
+    if not docs:
         return model
-    docs, n = bags(values, s), len(values)
+    n = len(docs)
     passes = max(1, min(40, round(s.steps / n)))
     total, step = passes * n, 0
     for _ in range(passes):
@@ -148,16 +157,24 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, s: Sett
     order = F.xxhash64("doc_id")
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(order, "doc_id").limit(s.sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    rows = rows.orderBy(order, "doc_id", "text").limit(s.sample).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return train([r.text for r in rows], [r.quality for r in rows], s)
+    rows = rows.orderBy(order, "doc_id", "text").limit(s.sample)
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = bags_of(b.column("text"), s)
+            cells = [pa.array([x[k].tobytes() for x in own], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("text_hash"), *cells], ["doc_id", "quality", "text_hash", "ids", "share"])
+
+    own = rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(featured, rows.select("doc_id", "quality").withColumn("text_hash", F.lit(0).cast("long")).schema.add("ids", "binary").add("share", "binary")).collect()
+    own.sort(key=lambda r: (r.doc_id, r.text_hash))
+    return train([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.share, np.float32)) for r in own], [r.quality for r in own], s)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` as doc_id, score and the columns of ``keep``, row by row in one pass."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((model.projected(), float(model.bias[1] - model.bias[0]), model.settings))
-    kept = list(dict.fromkeys(("doc_id", *keep)))
+    kept = [c for c in dict.fromkeys(("doc_id", *keep)) if c != "quality_score"]
     schema = docs.select(*kept).withColumn("quality_score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
