@@ -26,15 +26,24 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects. It learns from all labelled documents among its input."""
+    """Drops the documents that the classifier rejects. It learns from the labelled documents among its input.
+
+    Where it has not seen labels of both kinds, as with an empty table of labels, it rejects nothing. Null and empty texts
+    have the score of the bias; null ids and repeated rows are judged row by row; an empty table gives no rows; further
+    columns are left out."""
     importable(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    if not model.learned:
+        return _columns(docs)
     rows = quality.score(docs, model, keep=tuple(COLUMNS))
     return _columns(rows.where(F.col("quality_score") >= model.settings.threshold))
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, the one with the smallest id."""
+    """Keeps one document of each group of near copies, the one with the smallest id (of repeated rows one).
+
+    Texts without words, null ones too, are in no group and stay; a null id stays only where its group has no other; an
+    empty table gives no rows; further columns are left out."""
     importable(spark)
     docs = docs.select(*COLUMNS)
     result = neardup.dedup(docs, keep=("doc_id", "lang", "source", "n_chars"))
@@ -43,7 +52,10 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages that a document with a smaller id has too; documents of which nothing is left go."""
+    """Removes passages that a document with a smaller id has too; documents of which nothing is left go.
+
+    A null text becomes empty and stays; a row with a null id loses nothing and takes nothing from others; repeated rows of
+    one id do not remove each other's; an empty table gives no rows; further columns are left out."""
     importable(spark)
     rows = suffix.dedup(docs, texts_too=True, keep=("lang", "source"))
     gone = (F.col("n_removed") > 0) & (F.trim("kept_text") == "")
@@ -51,12 +63,18 @@ def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data and what discloses it."""
+    """Replaces personal data and what discloses it.
+
+    A null text stays null; null ids and repeated rows are treated row by row; an empty table gives no rows; further columns
+    are left out."""
     return _columns(pii.sanitise(docs.select(*COLUMNS)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences."""
+    """Packs the documents into sequences, piece by piece.
+
+    A null or empty text is one piece of length 0 in no bin; a null source conflicts with nothing; repeated rows are packed
+    each, never into one bin; an empty table gives no rows; further columns are not read, whatever their names."""
     importable(spark)
     return packing.pack(docs)
 

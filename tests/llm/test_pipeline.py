@@ -101,26 +101,106 @@ def test_packing(spark, group_rows):
     assert packing.pack(frame(spark, rows).limit(0), s).count() == 0
 
 
-def test_packing_takes_the_tightest_compatible_bin():
-    """Against a search through all open bins."""
+@pytest.mark.parametrize("sources", [3, 1, 40])
+def test_packing_takes_the_tightest_compatible_bin(sources):
+    """Every item's bin and offset, against a search through all bins."""
     rng = np.random.default_rng(4)
     s = packing.Settings(capacity=100, per_source=2)
-    rows = [(k, f"s{rng.integers(3)}" if k % 5 else None, int(rng.integers(1, 99)), int(rng.integers(40)) if k % 7 else None) for k in range(500)]
-    left, used, want = [], [], {}
-    for d, source, n, cluster in sorted(rows, key=lambda r: (-(r[2] % 100), -r[2], r[0])):
-        fit = [b for b in range(len(left)) if left[b] >= n and (cluster is None or cluster not in used[b][0]) and (source is None or used[b][1].count(source) < 2)]
-        tight = min((left[b] for b in fit), default=None)
-        want[d] = (n, tight)
-        b = next((b for b in fit if left[b] == tight), None)
-        if b is None:
+    rows = [(k, f"s{rng.integers(sources)}" if k % 5 else None, int(rng.integers(1, 250)) if k % 3 else 30, int(rng.integers(40)) if k % 7 else None) for k in range(500)]
+    rows += [(600 + k, f"s{k % 2}", 30, 7) for k in range(60)] + [(700, None, 0, 3), (None, "s0", 30, None)]
+    left, used, want, full = [], [], [], 0
+    for d, source, n, cluster in sorted(rows, key=packing.order(s)):
+        if not n:
+            want.append((d, source, 0, 0, None, None))
+            continue
+        for p in range(n // 100):
+            want.append((d, source, p, 100, f"g-f{full}", 0))
+            full += 1
+        rest = n % 100
+        if not rest:
+            continue
+        fit = [(left[b], b) for b in range(len(left)) if left[b] >= rest and (cluster is None or cluster not in used[b][0]) and (source is None or used[b][1].count(source) < 2)]
+        if not fit:
             left.append(100)
             used.append((set(), []))
-            b = len(left) - 1
-        left[b] -= n
+            fit = [(100, len(left) - 1)]
+        b = min(fit)[1]
+        want.append((d, source, n // 100, rest, f"g-{b}", 100 - left[b]))
+        left[b] -= rest
         used[b][0].add(cluster)
         used[b][1].append(source)
-    got = packing.pack_group(rows, s, "g")
-    assert len({r[4] for r in got}) <= len(left) + 2
+    assert packing.pack_group(rows, s, "g") == want
+
+
+def test_packing_of_one_hot_source_and_cluster_is_not_quadratic():
+    import time
+
+    rows = [(k, "hot", 40, k % 3 and 5) for k in range(20_000)]
+    began = time.perf_counter()
+    packing.pack_group(rows, packing.Settings(capacity=1000, per_source=2), "g")
+    assert time.perf_counter() - began < 30
+
+
+def test_packing_stage_equals_the_operator_over_all_groups(spark):
+    """The stage's rows, against a plain packing of each hash group; clashing names and nulls in all columns."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(12)
+    rows = [(k, "t" * int(rng.integers(0, 9000)), "en", f"s{k % 4}", 1, k, "x", "y") for k in range(300)] + [(None,) * 8] * 3
+    df = spark.createDataFrame(rows, SCHEMA + ", grp int, length string, cluster string").repartition(3)
+    got = sorted(map(str, P.packing_stage(spark, df, "").collect()))
+    kind = F.xxhash64(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    items = [tuple(r) for r in df.select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)), F.when(F.col("text").isNotNull(), kind)).collect()]
+    plain = packing.pack_group(items, packing.Settings(), "g0")
+    assert got == sorted(str(r) for r in spark.createDataFrame(plain, packing.SCHEMA).collect())
+
+
+def brute_quality(text, model):
+    """The score of one text from the model, feature by feature."""
+    s = model.settings
+    ((ids, share),) = quality.bags([text or ""], s)
+    assert not len(ids) or abs(share.sum() - 1) < 1e-5
+    hidden = np.zeros(s.dim)
+    for i, x in zip(ids, share, strict=True):
+        hidden += float(x) * model.vectors[i].astype(float)
+    z = hidden @ model.output.astype(float) + model.bias
+    return float(np.exp(z[1]) / np.exp(z).sum())
+
+
+def test_quality_scores_equal_the_model_text_by_text(spark, folder):
+    """Null ids, repeated rows, a very long text, ties and clashing names."""
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = quality.fit(docs, labels)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, "a b c"), (3, "a b c"), (3, "a b c"), (7, "lang " * 60_000), (8, "é" * 5000), (9, " "), (10, None)]
+    df = spark.createDataFrame([(*r, 0.5, "x", "y") for r in rows], "doc_id long, text string, quality_score double, quality string, score string").repartition(3)
+    got = sorted((str(r.doc_id), round(r.quality_score, 6)) for r in quality.score(df.drop("quality_score"), model).collect())
+    assert got == sorted((str(d), round(brute_quality(t, model), 6)) for d, t in rows)
+    assert quality.score(df, model).count() == len(rows)
+
+
+def test_quality_features_match_a_plain_reading():
+    s = quality.Settings()
+    buf, offsets = quality.texts(__import__("pyarrow").array(["ab cab", "ab", ""]))
+    grams, firsts = quality.features(buf, offsets, 0, 3, s)
+    sizes = [np.diff(f).tolist() for f in firsts]
+    # of three and four bytes with a space at an end only; words; pairs of words
+    inner = lambda t, n: sum(" " not in t[k + 1 : k + n - 1] for k in range(len(t) - n + 1))
+    assert sizes[:2] == [[inner(t, n) for t in ("ab cab", "ab", "")] for n in s.grams]
+    assert sizes[2:] == [[2, 1, 0], [1, 0, 0]]
+
+
+def test_quality_stage_keeps_all_without_both_labels(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, rows in enumerate(([], [(1, 1, 0)], [(1, 0, 0), (2, 0, 0)], [(10**9, 1, 0), (10**9 + 1, 0, 0)])):
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        assert P.quality_stage(spark, docs, f"{tmp_path}/{k}").count() == docs.count()
+
+
+def test_quality_stage_drops_what_the_model_rejects(spark, folder):
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = quality.fit(docs, labels)
+    want = {r.doc_id for r in docs.collect() if brute_quality(r.text, model) >= 0.7}
+    assert {r.doc_id for r in P.quality_stage(spark, docs, folder).collect()} == want
 
 
 def test_quality_on_held_out_rows(spark, folder):
