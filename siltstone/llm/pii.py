@@ -154,8 +154,9 @@ def disclosing(found: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     revealing = candidates.join(counts, "term").withColumn("told", told).where(F.col("told") >= s.generalise)
     kinds = settle(revealing.select("who", "n_e", "term", F.when(F.col("told") >= s.remove, "term").otherwise("quasi").alias("kind")))
     hits = settle(meeting.join(kinds, ["who", "n_e", "term"]).groupBy("copy", "term").agg(F.max("kind").alias("kind")))
-    # few bytes, but work for each word: not to be joined into one task
-    placed = text.join(hits.select("copy").distinct(), "copy", "left_semi").repartition(partitions(docs), "copy")
+    # few bytes, but work for each word: not to be joined into one task (a plain repartition by copy would be left out, as the
+    # join deals by it already, to few tasks)
+    placed = text.join(hits.select("copy").distinct(), "copy", "left_semi").repartition(partitions(docs), F.xxhash64("copy", F.lit(1)))
     placed = placed.select("copy", F.explode(_located(F.col("_text"), TERM, F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)))).alias("w"))
     placed = placed.select("copy", F.lower("w.value").alias("term"), "w.s", "w.e").join(hits, ["copy", "term"])
     placed = placed.groupBy("copy").agg(F.sort_array(F.collect_list(F.struct("s", "e", "kind"))).alias("terms"))
