@@ -19,18 +19,19 @@ def _least(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``e`` (u, v) with the part of each edge, and for each node and part (u, s) the node's smallest neighbour m."""
     salted = e.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     parts = salted.groupBy("u", "s").agg(F.min("v").alias("m"))
-    return salted, parts.select("u", "s").join(parts.groupBy("u").agg(F.min("m").alias("m")), "u")
+    # merged, as all joins here: a broadcast of every round would stay in the driver's memory
+    return salted, parts.select("u", "s").hint("merge").join(parts.groupBy("u").agg(F.min("m").alias("m")), "u")
 
 
 def _large(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     salted, least = _least(both)
-    return salted.where("v > u").join(least, ["u", "s"]).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u != v").distinct()
+    return salted.where("v > u").join(least.hint("merge"), ["u", "s"]).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u != v").distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
     salted, least = _least(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    moved = salted.join(least, ["u", "s"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    moved = salted.join(least.hint("merge"), ["u", "s"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 

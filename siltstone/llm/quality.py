@@ -17,7 +17,7 @@ quality_score gives way to the score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import pack, unpack
 from .common import ODD, SPACE, Words, chunks, mix, texts
 
 
@@ -105,13 +106,27 @@ def bags_of(column: pa.Array, s: Settings) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
-def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], s: Settings = Settings()) -> Model:
+class Packed:
+    """Texts' features, compressed until they are looked at: the driver holds them for all passes."""
+
+    def __init__(self, cells: list[tuple[bytes, bytes]]):
+        self.cells = cells
+
+    def __len__(self) -> int:
+        return len(self.cells)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, share = self.cells[k]
+        return unpack(ids, np.int32), unpack(share, np.float32)
+
+
+def train(docs: Sequence[tuple[np.ndarray, np.ndarray]], labels: list[int], s: Settings = Settings()) -> Model:
     """docs: the features of each text, as made by ``bags``."""
     rng = np.random.default_rng(s.seed)
     model = Model(rng.uniform(-1, 1, (1 << s.bits, s.dim)).astype(np.float32) / s.dim, np.zeros((s.dim, 2), np.float32), np.zeros(2, np.float32), s, len(set(labels)) == 2)
-    if not docs:
-        return model
     n = len(docs)
+    if not n:
+        return model
     passes = max(1, min(40, round(s.steps / n)))
     total, step = passes * n, 0
     for _ in range(passes):
@@ -162,12 +177,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, s: Sett
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = bags_of(b.column("text"), s)
-            cells = [pa.array([x[k].tobytes() for x in own], pa.binary()) for k in (0, 1)]
+            cells = [pa.array([pack(x[k]) for x in own], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("text_hash"), *cells], ["doc_id", "quality", "text_hash", "ids", "share"])
 
     own = rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(featured, rows.select("doc_id", "quality").withColumn("text_hash", F.lit(0).cast("long")).schema.add("ids", "binary").add("share", "binary")).collect()
     own.sort(key=lambda r: (r.doc_id, r.text_hash))
-    return train([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.share, np.float32)) for r in own], [r.quality for r in own], s)
+    return train(Packed([(r.ids, r.share) for r in own]), [r.quality for r in own], s)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
