@@ -203,6 +203,12 @@ def forget(settled: DataFrame) -> None:
         delete(settled.sparkSession, path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Asks the driver's JVM to collect its garbage. Plans of many small steps are garbage at once, but the JVM lets its heap
+    grow to its limit before it looks; a driver with little memory beside the heap is then too small."""
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def dropping(spark: SparkSession) -> Iterator[None]:
     """What is settled inside is deleted at the end; for callers that by then have written their result."""

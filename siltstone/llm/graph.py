@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, settle
+from .common import forget, settle, tidy
 
 SALTS = 256
 
@@ -48,4 +48,5 @@ def components(edges: DataFrame) -> DataFrame:
         state, old = tuple(now), e
         e = settle(_small(_large(e)))
         forget(old)
+        tidy(e.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import pack, unpack
-from .common import ODD, SPACE, Words, chunks, mix, texts
+from .common import ODD, SPACE, Words, chunks, mix, texts, tidy
 
 
 @dataclass(frozen=True)
@@ -182,7 +182,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, s: Sett
 
     own = rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(featured, rows.select("doc_id", "quality").withColumn("text_hash", F.lit(0).cast("long")).schema.add("ids", "binary").add("share", "binary")).collect()
     own.sort(key=lambda r: (r.doc_id, r.text_hash))
-    return train(Packed([(r.ids, r.share) for r in own]), [r.quality for r in own], s)
+    cells, known = Packed([(r.ids, r.share) for r in own]), [r.quality for r in own]
+    del own
+    tidy(docs.sparkSession)  # the rows' copies in the JVM
+    return train(cells, known, s)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
