@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import neardup, packing, pii, quality, suffix
-from siltstone.llm.common import delete, dropping, importable, shared_folder, table
+from siltstone.llm.common import delete, dropping, importable, shared_folder, table, tidy
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -100,6 +100,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         here = f"{folder}/{k}-{name}"
         with dropping(spark):
             stage(spark, docs, sf_dir).write.parquet(here)
+        tidy(spark)
         docs = spark.read.parquet(here)
         if before:
             delete(spark, before)
