@@ -105,17 +105,31 @@ def quantile(x: Str, p: float = 0.5, *, where: Column | None = None, descending:
 percentile_cont = quantile
 
 
+#: How far a share is moved up so that ``percentile_disc``, the first element whose cumulative share reaches it, becomes the
+#: first one whose cumulative share exceeds it.
+STRICTLY = 1e-12
+#: Types that are counted by a number: there and back.
+BY_NUMBER = {"date": (F.unix_date, F.date_from_unix_date), "timestamp": (F.unix_micros, F.timestamp_micros)}
+
+
 def quantile_exact(x: Str, p: float = 0.5, kind: str | None = None, *, where: Column | None = None) -> Column:
-    """An element of the sample: the one at floor(p * n), the last one at most."""
-    ordered = F.sort_array(F.collect_list(only(col(x), where)))
-    n = F.size(ordered)
-    out = F.get(ordered, F.least(F.floor(F.lit(p) * n).cast("int"), n - 1))
-    return out if kind is None else out.cast(kind)
+    """An element of the sample: the one at floor(p * n), the last one at most. Kept as counts of values, not as a list of
+    all elements. kind: the values' type; dates and timestamps need it."""
+    there, back = BY_NUMBER.get(kind or "", (lambda c: c, lambda c: c))
+    out = percentile_disc(only(there(col(x)), where), min(1.0, p + STRICTLY))
+    return back(out.cast("long" if kind == "timestamp" else "int")) if kind in BY_NUMBER else out if kind is None else out.cast(kind)
+
+
+def _sql(x: Column) -> str:
+    """An expression as SQL text."""
+    from pyspark.sql import SparkSession
+
+    return SparkSession.active()._jsparkSession.expression(x._jc).sql()
 
 
-def percentile_disc(x: str, p: float) -> Column:
-    """The first element whose cumulative share reaches p; sorted by Spark's percentile_disc, without collecting."""
-    return F.expr(f"percentile_disc({p!r}) WITHIN GROUP (ORDER BY {x})")
+def percentile_disc(x: Str, p: float) -> Column:
+    """The first element whose cumulative share reaches p; Spark keeps counts of values, and has the function in SQL only."""
+    return F.expr(f"percentile_disc({p!r}D) WITHIN GROUP (ORDER BY {x if isinstance(x, str) else _sql(x)})")
 
 
 def arg_min(value: Str, by: Str) -> Column:

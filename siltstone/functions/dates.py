@@ -118,3 +118,8 @@ def plus(x: Str, *, years: int = 0, months: int = 0, weeks: int = 0, days: int |
 
 def minus(x: Str, **parts: int) -> Column:
     return plus(x, **{k: -v for k, v in parts.items()})
+
+
+def clock_timestamp() -> Column:
+    """The clock as each row is computed; unlike ``now`` it moves on during a query."""
+    return F.timestamp_millis(F.java_method(F.lit("java.lang.System"), F.lit("currentTimeMillis")).cast("bigint"))

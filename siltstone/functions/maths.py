@@ -12,9 +12,8 @@ UNSIGNED = {8: "smallint", 16: "int", 32: "bigint", 64: "bigint", 128: "decimal(
 
 
 def div(a: Str, b: Str) -> Column:
-    """Integer division, towards zero."""
-    a, b = col(a), col(b)
-    return ((a - a % b) / b).cast("long")
+    """Division of integers or decimals, towards zero; exact."""
+    return F.call_function("div", col(a), col(b))
 
 
 def mod(a: Str, b: Str | int) -> Column:

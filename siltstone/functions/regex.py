@@ -8,7 +8,7 @@ very end of the text, which Java writes ``\\z``.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,22 +18,57 @@ from .strings import Str, col
 FLAGS = frozenset("imnpstwg")
 
 
-def end_anchors(pattern: str) -> str:
-    """``pattern`` with each unescaped ``$`` outside classes written ``\\z``."""
-    out, k, inside = [], 0, False
+def pieces(pattern: str) -> Iterator[tuple[str, str]]:
+    """The pattern's parts in order: ("class", a whole bracket expression), ("escape", backslash and what it escapes) or
+    ("char", any other character). A ``]`` that comes first in a class is one of its characters."""
+    k = 0
     while k < len(pattern):
         c = pattern[k]
         if c == "\\" and k + 1 < len(pattern):
-            out.append(pattern[k : k + 2])
+            digits = re.match(r"[1-9][0-9]*", pattern[k + 1 :])
+            n = 1 + (len(digits[0]) if digits else 1)
+            yield "escape", pattern[k : k + n]
+            k += n
+        elif c == "[":
+            end = k + 1 + pattern.startswith("^", k + 1)
+            end += pattern.startswith("]", end)
+            while end < len(pattern) and pattern[end] != "]":
+                named = re.match(r"\[:\^?[a-z]+:\]", pattern[end:])
+                end += len(named[0]) if named else 2 if pattern[end] == "\\" else 1
+            yield "class", pattern[k : end + 1]
+            k = end + 1
+        else:
+            yield "char", c
+            k += 1
+
+
+#: Named classes of bracket expressions. Fixed values.
+NAMED = {"alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph", "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper", "xdigit": "XDigit"}
+
+
+def bracket(text: str) -> str:
+    """A bracket expression in Java's notation, in which classes may be nested and intersected."""
+    head = 2 if text.startswith("[^") else 1
+    out, k, end = [text[:head]], head, len(text) - 1
+    while k < end:
+        named = re.match(r"\[:(\^?)([a-z]+):\]", text[k:])
+        if named:
+            if named[2] != "word" and named[2] not in NAMED:
+                raise ValueError(f"invalid character class: {named[2]!r}")
+            out.append(("\\W" if named[1] else "\\w") if named[2] == "word" else f"\\{'P' if named[1] else 'p'}{{{NAMED[named[2]]}}}")
+            k += len(named[0])
+        elif text[k] == "\\":
+            out.append(text[k : k + 2])
             k += 2
-            continue
-        if c == "[" and not inside:
-            inside = True
-        elif c == "]" and inside:
-            inside = False
-        out.append("\\z" if c == "$" and not inside else c)
-        k += 1
-    return "".join(out)
+        else:
+            out.append("\\" + text[k] if text[k] in "[]&" else text[k])
+            k += 1
+    return "".join(out) + "]"
+
+
+def host(pattern: str, lines: bool = False) -> str:
+    """``pattern`` for Java: bracket expressions, and ``$`` without a line flag as the very end of the text."""
+    return "".join(bracket(t) if kind == "class" else "\\z" if t == "$" and not lines else t for kind, t in pieces(pattern))
 
 
 def java(pattern: str, flags: str = "", base: str = "s") -> str:
@@ -45,25 +80,27 @@ def java(pattern: str, flags: str = "", base: str = "s") -> str:
         if f in "mnpsw":
             dots, lines = {"m": (False, True), "n": (False, True), "p": (False, False), "s": (True, False), "w": (True, True)}[f]
     mode = "i" * ("i" in flags) + "s" * dots + "m" * lines
-    return (f"(?{mode})" if mode else "") + (pattern if lines else end_anchors(pattern))
+    return (f"(?{mode})" if mode else "") + host(pattern, lines)
 
 
 def groups(pattern: str) -> int:
     """Capturing groups of a pattern."""
-    n, k, inside = 0, 0, False
-    while k < len(pattern):
-        c = pattern[k]
-        if c == "\\":
-            k += 2
-            continue
-        if c == "[":
-            inside = True
-        elif c == "]":
-            inside = False
-        elif c == "(" and not inside and (pattern[k + 1 : k + 2] != "?" or re.match(r"\(\?(P?<[A-Za-z]|<[A-Za-z])", pattern[k:])):
-            n += 1
-        k += 1
-    return n
+    rest = "".join("[]" if kind == "class" else "\\." if kind == "escape" else t for kind, t in pieces(pattern))
+    return len(re.findall(r"(?<!\\)\((?!\?)|\(\?P?<[A-Za-z]", rest))
+
+
+def shifted(pattern: str, by: int) -> str:
+    """The pattern with its backreferences' numbers moved; digits beyond the last group are characters of their own."""
+    n, out = groups(pattern), []
+    for kind, t in pieces(pattern):
+        if kind == "escape" and t[1:].isdigit() and t[1] != "0":
+            digits = t[1:]
+            while len(digits) > 1 and int(digits) > n:
+                digits = digits[:-1]
+            out.append(f"(?:\\{int(digits) + by}){t[1 + len(digits) :]}")
+        else:
+            out.append(t)
+    return "".join(out)
 
 
 def replacement(text: str, shift: int = 0) -> str:
@@ -128,7 +165,8 @@ def regexp_replace(x: Str, pattern: str, by: str, flags: str = "") -> Column:
     # what comes before the first match is group 1 and the match group 2, so the user's groups move by two
     p = java(pattern, flags)
     mode = re.match(r"\(\?([ism]+)\)", p)
-    inner = f"(?{mode[1]}:{p[mode.end():]})" if mode else p
+    inner = shifted(p[mode.end() :] if mode else p, 2)
+    inner = f"(?{mode[1]}:{inner})" if mode else inner
     return F.regexp_replace(c, rf"\A((?s:.*?))({inner})", "$1" + replacement(by, 2))
 
 
@@ -201,8 +239,13 @@ def re2_multi_match_all_indices(x: Str, patterns: Sequence[str]) -> Column:
     return F.filter(F.array(*(F.when(re2_match(x, p), F.lit(k)) for k, p in enumerate(patterns, 1))), lambda k: k.isNotNull())
 
 
+#: Characters with a meaning in patterns, which quoting puts a backslash before; a zero byte is written \\0. Fixed values.
+META = r"\|()^$.[]?*+{:-"
+
+
 def re2_quote_meta(x: Str) -> Column:
-    return F.regexp_replace(col(x), r"([^A-Za-z0-9_\x{80}-\x{10FFFF}])", r"\\$1")
+    quoted = F.regexp_replace(col(x), "([" + "".join("\\" + c for c in META) + "])", r"\\$1")
+    return F.replace(quoted, F.lit("\0"), F.lit("\\0"))
 
 
 def re2_split(pattern: str, x: Str, n: int | None = None) -> Column:

@@ -85,7 +85,7 @@ FUNCTIONS: dict[str, Callable] = {
     "now": dates.now,
     "statement_timestamp": dates.now,
     "transaction_timestamp": dates.now,
-    "clock_timestamp": dates.now,
+    "clock_timestamp": dates.clock_timestamp,
     "to_timestamp": dates.to_timestamp,
     "to_char": dates.to_char,
     # mathematics

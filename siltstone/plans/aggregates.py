@@ -27,14 +27,17 @@ grouped("a09_array_agg", O, "o_custkey", {"r": (lambda: F.array_sort(A.array_agg
 grouped("a10_array_agg_of_arrays", "embeddings", "label", {"r": (lambda: F.array_sort(A.array_agg(F.slice("embedding", 1, 2))), "list_sort(list(embedding[1:2]))")})
 grouped("a11_string_agg", O, "o_custkey", {"r": (lambda: F.array_join(F.array_sort(F.split(A.string_agg("o_orderstatus", ","), ",")), ","), "string_agg(o_orderstatus, ',' ORDER BY o_orderstatus)"), "d": (lambda: F.array_join(F.array_sort(F.split(A.string_agg("o_orderstatus", ",", distinct=True), ",")), ","), "string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus)")})
 grouped("a12_string_agg_ordered", O, "o_custkey", {"r": (lambda: A.string_agg("o_orderpriority", "|", order_by=col("o_orderkey")), "string_agg(o_orderpriority, '|' ORDER BY o_orderkey)")})
-grouped("a13_string_agg_bytes", O, "o_orderstatus", {"n": (lambda: BIG(F.length(A.string_agg_bytes(col("o_orderpriority").cast("binary"), b","))), "CAST(sum(strlen(o_orderpriority)) + count(*) - 1 AS BIGINT)")})
+in_order = lambda c, sep=",": F.array_join(F.array_sort(c), sep)
+grouped("a13_string_agg_bytes", O, "o_custkey", {"parts": (lambda: in_order(F.split(F.decode(A.string_agg_bytes(col("o_orderpriority").cast("binary"), b"|"), "UTF-8"), r"\|")), "string_agg(o_orderpriority, ',' ORDER BY o_orderpriority)"), "n": (lambda: BIG(F.length(A.string_agg_bytes(col("o_orderpriority").cast("binary"), b"|"))), "CAST(sum(strlen(o_orderpriority)) + count(*) - 1 AS BIGINT)")})
 grouped("a14_regr", L, "l_returnflag", {n: ((lambda n=n: F.round(A.REGRESSION[n]("l_extendedprice", "l_quantity"), 2)), f"round({n}(l_extendedprice, l_quantity), 2)") for n in A.REGRESSION if n != "regr_count"} | {"regr_count": (lambda: BIG(A.REGRESSION["regr_count"]("l_extendedprice", "l_quantity")), "CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT)")})
-grouped("a15_json_agg_strict", C, "c_nationkey", {"n": (lambda: BIG(F.json_array_length(A.json_agg_strict(F.nullif("c_mktsegment", lit("BUILDING"))))), "count(*) FILTER (WHERE c_mktsegment <> 'BUILDING')")})
+grouped("a15_json_agg_strict", C, "c_nationkey", {"items": (lambda: in_order(F.from_json(A.json_agg_strict(F.nullif("c_mktsegment", lit("BUILDING"))), "array<string>")), "coalesce(string_agg(c_mktsegment, ',' ORDER BY c_mktsegment) FILTER (WHERE c_mktsegment <> 'BUILDING'), '')"), "n": (lambda: BIG(F.json_array_length(A.json_agg_strict(F.nullif("c_mktsegment", lit("BUILDING"))))), "count(*) FILTER (WHERE c_mktsegment <> 'BUILDING')")})
 grouped("a16_percentile_cont", L, "l_returnflag", {"q1": (lambda: F.round(A.percentile_cont("l_quantity", 0.25), 6), "round(quantile_cont(l_quantity, 0.25), 6)"), "q9": (lambda: F.round(A.percentile_cont("l_extendedprice", 0.9), 4), "round(quantile_cont(l_extendedprice, 0.9), 4)")})
 grouped("a17_percentile_cont_desc", L, "l_returnflag", {"q1": (lambda: F.round(A.quantile("l_quantity", 0.1, descending=True), 6), "round(percentile_cont(0.1) WITHIN GROUP (ORDER BY l_quantity DESC), 6)")})
 grouped("a18_median", L, "l_returnflag", {"m": (lambda: A.quantile("l_extendedprice"), "median(l_extendedprice)")})
 grouped("a19_quantile", L, "l_linestatus", {"m": (lambda: F.round(A.quantile("l_extendedprice", 0.99), 4), "round(quantile_cont(l_extendedprice, 0.99), 4)")})
-grouped("a20_quantile_exact", L, "l_returnflag", {"m": (lambda: A.percentile_disc("l_quantity", 0.75), "quantile_disc(l_quantity, 0.75)"), "i": (lambda: A.percentile_disc("l_linenumber", 0.5).cast("int"), "quantile_disc(l_linenumber, 0.5)")})
+at = lambda x, p: f"list_sort(list({x}))[CAST(least(floor({p} * count({x})) + 1, count({x})) AS BIGINT)]"
+grouped("a20_quantile_exact", L, "l_returnflag, l_linestatus", {"m": (lambda: A.quantile_exact("l_quantity", 0.75), at("l_quantity", 0.75)), "i": (lambda: A.quantile_exact("l_linenumber", 0.5, "int"), at("l_linenumber", 0.5)), "d": (lambda: A.quantile_exact(col("l_shipdate").cast("date"), 0.3, "date"), at("CAST(l_shipdate AS DATE)", 0.3)), "top": (lambda: A.quantile_exact("l_quantity", 1.0, where=col("l_tax") > 0.04), "max(l_quantity) FILTER (WHERE l_tax > 0.04)")})
+grouped("a20_percentile_disc", L, "l_returnflag", {"m": (lambda: A.percentile_disc("l_quantity", 0.75), "quantile_disc(l_quantity, 0.75)"), "i": (lambda: A.percentile_disc("l_linenumber", 0.5).cast("int"), "quantile_disc(l_linenumber, 0.5)")})
 grouped("a21_arg_min", O, "o_custkey", {"r": (lambda: A.arg_min("o_orderkey", F.struct("o_totalprice", "o_orderkey")), "arg_min(o_orderkey, (o_totalprice, o_orderkey))")})
 grouped("a22_arg_max", O, "o_custkey", {"r": (lambda: A.arg_max("o_orderkey", F.struct("o_totalprice", "o_orderkey")), "arg_max(o_orderkey, (o_totalprice, o_orderkey))")})
 grouped("a23_uniq", L, "l_returnflag", {"near": (lambda: F.abs(A.uniq("l_linenumber", "l_linestatus") - F.count_distinct("l_linenumber", "l_linestatus")) <= 1, "true")})

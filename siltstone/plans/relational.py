@@ -19,6 +19,7 @@ scalar("p03_logic", C, "c_custkey", lambda: ((col("c_acctbal") > 0) & (col("c_na
 both("p04_comparison", "SELECT c_custkey, c_nationkey = 3 AS eq, c_nationkey <> 3 AS ne, c_nationkey < 3 AS lt, c_nationkey <= 3 AS le, c_nationkey > 3 AS gt, c_nationkey >= 3 AS ge FROM {customer}")
 both("p05_arithmetic", "SELECT l_orderkey, l_linenumber, l_orderkey + l_linenumber AS a, l_orderkey - 7 AS s, l_linenumber * 3 AS m, l_orderkey % 5 AS r, -l_linenumber AS n FROM {lineitem}")
 scalar("p06_integer_division", L, "l_orderkey, l_linenumber", lambda: M.div(col("l_orderkey") - 5000, lit(7)), "CAST(trunc((l_orderkey - 5000) / 7.0) AS BIGINT)")
+scalar("p06_integer_division_large", L, "l_orderkey, l_linenumber", lambda: M.div(col("l_orderkey") + lit(9007199254740993), lit(3)) - M.div(lit(-9223372036854775807) + col("l_orderkey"), lit(2)), "CAST((l_orderkey + 9007199254740993) // 3 + (9223372036854775807 - l_orderkey) // 2 AS BIGINT)")
 both("p07_concat", "SELECT c_custkey, c_name || '/' || c_mktsegment AS result FROM {customer}")
 both("p08_like", "SELECT c_custkey, c_mktsegment LIKE 'B%' AS a, c_mktsegment NOT LIKE '%I_D%' AS b, c_mktsegment ILIKE 'mach%' AS c, c_mktsegment NOT ILIKE '%hold' AS d FROM {customer}")
 both("p09_is_null", "SELECT c_custkey, o_orderkey IS NULL AS missing, o_orderkey IS NOT NULL AS there FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey AND o_orderstatus = 'P'")

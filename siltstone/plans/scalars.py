@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import time
+
 from pyspark.sql import functions as F
 
 from ..functions import arrays as Y
@@ -44,7 +47,7 @@ s("f17_string_to_array", lambda: S.string_to_array(F.concat("p_name", lit("."),
 s("f18_bit_count", lambda: S.bit_count_bytes(F.unhex(F.hex(col("p_partkey")))), "bit_count(p_partkey)", kind="long")
 query("f19_soundex")(lambda spark, d: table(spark, d, P).select("p_partkey", S.soundex("p_name").alias("result")))
 s("f20_levenshtein", lambda: S.levenshtein("p_name", "p_type").cast("long"), "levenshtein(p_name, p_type)")
-s("f20_levenshtein_costs", lambda: S.levenshtein_costs("p_name", lit("ring"), 1, 1, 1).cast("long"), "levenshtein(p_name, 'ring')")
+s("f20_levenshtein_costs", lambda: F.concat_ws("|", S.levenshtein_costs("p_name", F.concat("p_name", lit("xyz")), 5, 1, 1), S.levenshtein_costs(F.concat("p_name", lit("xyz")), "p_name", 1, 7, 9), S.levenshtein_costs("p_name", F.upper("p_name"), 4, 4, 1), S.levenshtein_costs("p_name", lit("ring"), 3, 3, 3)), "concat_ws('|', 15, 21, length(regexp_replace(p_name, '[^a-z]', '', 'g')), 3 * levenshtein(p_name, 'ring'))")
 
 # R: regular expressions
 s("r01_match", lambda: R.matches("p_name", "^(red|blue).*t$"), "regexp_matches(p_name, '^(red|blue).*t$')")
@@ -56,6 +59,7 @@ s("r06_regexp_match", lambda: R.regexp_match("p_name", r"(\w)(i\w)"), r"CASE WHE
 s("r06_regexp_match_whole", lambda: R.regexp_match("p_name", "[aeiou]+."), "regexp_extract_all(p_name, '[aeiou]+.')[1:1]")
 s("r07_regexp_split", lambda: R.regexp_split_to_array("p_name", "[ aeiou]"), "regexp_split_to_array(p_name, '[ aeiou]')")
 s("r08_regexp_replace", lambda: F.concat_ws("|", R.regexp_replace("p_name", "([aeiou])(.)", r"<\2\1>"), R.regexp_replace("p_name", "([aeiou])", r"<\1\0>", "g"), R.regexp_replace("p_brand", "BRAND", r"\&$", "i")), r"regexp_replace(p_name, '([aeiou])(.)', '<\2\1>') || '|' || regexp_replace(p_name, '([aeiou])', '<\1\0>', 'g') || '|' || regexp_replace(p_brand, '(BRAND)', '\1$', 'i')")
+s("r08_regexp_replace_classes", lambda: F.concat_ws("|", R.regexp_replace(F.concat(lit("abccd"), "p_name"), r"(.)\1", "X"), R.regexp_replace("p_name", "[[:alpha:]]+", "W"), R.regexp_replace(F.concat("p_name", lit("]$")), "[]$]$", "!")), "concat_ws('|', 'abXd' || p_name, regexp_replace(p_name, '[A-Za-z]+', 'W'), p_name || ']!')")
 s("r09_flags", lambda: F.array(R.regexp_like("text", "a.b"), R.regexp_like("text", "e.t", "n"), R.regexp_like("text", "^re", "m"), R.regexp_like("text", "^RE", "wi"), R.regexp_like("text", "o.d", "p")), "[regexp_matches(text, 'a.b', 's'), regexp_matches(text, 'e.t'), regexp_matches(text, '(?m)^re'), regexp_matches(text, '(?mi)^RE'), regexp_matches(text, 'o.d')]", G, "doc_id")
 s("r10_re2match", lambda: R.re2_match("p_name", "o+l"), "regexp_matches(p_name, 'o+l')")
 s("r11_re2extract", lambda: F.concat_ws("|", R.re2_extract("p_name", "[aeiou]."), R.re2_extract("p_name", "([aeiou])(.)"), R.re2_extract("p_name", "zz")), "regexp_extract(p_name, '[aeiou].') || '|' || regexp_extract(p_name, '([aeiou])(.)', 1) || '|' || ''")
@@ -69,7 +73,7 @@ s("r18_re2countmatches", lambda: (R.re2_count_matches("p_name", "[aeiou]") * 100
 s("r19_re2multimatchany", lambda: R.re2_multi_match_any("p_name", ["^red", "ring$"]), "(regexp_matches(p_name, '^red') OR regexp_matches(p_name, 'ring$'))")
 s("r20_re2multimatchanyindex", lambda: R.re2_multi_match_any_index("p_name", ["^red", "ring$", "bolt"]), "CASE WHEN regexp_matches(p_name, '^red') THEN 1 WHEN regexp_matches(p_name, 'ring$') THEN 2 WHEN regexp_matches(p_name, 'bolt') THEN 3 ELSE 0 END")
 s("r21_re2multimatchallindices", lambda: R.re2_multi_match_all_indices("p_name", ["^red", "ring$", "r"]), "list_filter([CASE WHEN regexp_matches(p_name, '^red') THEN 1 END, CASE WHEN regexp_matches(p_name, 'ring$') THEN 2 END, CASE WHEN regexp_matches(p_name, 'r') THEN 3 END], lambda x: x IS NOT NULL)")
-s("r22_re2quotemeta", lambda: R.re2_quote_meta(name()), f"regexp_replace({NAME}, '([^A-Za-z0-9_])', '\\\\\\1', 'g')")
+s("r22_re2quotemeta", lambda: R.re2_quote_meta(F.concat(name(), lit(". a-b_c:d#(e)|{f}"))), "regexp_replace(" + NAME + r", '([-.:({)|\[\]^$*+?\\])', '\\\1', 'g') || '\. a\-b_c\:d#\(e\)\|\{f}'")
 s("r23_re2split", lambda: F.concat(R.re2_split("[ aeiou]", "p_name"), R.re2_split("[ aeiou]", "p_name", 2)), "list_concat(regexp_split_to_array(p_name, '[ aeiou]'), regexp_split_to_array(p_name, '[ aeiou]')[1:2])")
 
 # D: dates and times
@@ -79,11 +83,21 @@ for id_, part, sql in (("d02", "day", "day"), ("d03", "doy", "doy"), ("d04", "do
     s(f"{id_}_{part}", lambda part=part: D.date_part(part, "ts"), f"CAST(extract({sql} FROM ts) AS BIGINT)", E, "event_id")
 s("d09_epoch", lambda: D.date_part("epoch", "ts"), "CAST(floor(epoch(ts)) AS BIGINT)", E, "event_id")
 s("d11_date", lambda: D.to_date("ts"), "CAST(ts AS DATE)", E, "event_id")
-s("d12_at_time_zone", lambda: D.at_time_zone("ts", "Europe/Berlin"), "ts + INTERVAL 1 HOUR", E, "event_id")
-s("d13_now", lambda: (D.now() > lit("2020-01-01").cast("timestamp")) & D.local_timestamp().isNotNull(), "true", "region", "r_regionkey")
-s("d14_clock", lambda: F.current_timestamp() == D.now(), "true", "region", "r_regionkey")
-s("d15_current_date", lambda: D.current_date() >= lit("2020-01-01").cast("date"), "true", "region", "r_regionkey")
-s("d16_current_time", lambda: D.current_time().isNotNull(), "true", "region", "r_regionkey")
+# over a whole year; summer time from the last Sunday of March to that of October, 01:00 UTC
+DAY = "(ts + INTERVAL (event_id % 366) DAY)"
+sunday = lambda month: f"(make_date(year({DAY}), {month}, 31) - CAST(dayofweek(make_date(year({DAY}), {month}, 31)) AS INTEGER) + INTERVAL 1 HOUR)"
+s("d12_at_time_zone", lambda: D.at_time_zone(col("ts") + F.make_dt_interval((col("event_id") % 366).cast("int")), "Europe/Berlin"), f"{DAY} + CASE WHEN {DAY} >= {sunday(3)} AND {DAY} < {sunday(10)} THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END", E, "event_id")
+
+
+def near(x, clock: str):
+    """Whether a time is within ten minutes of the driver's clock where the query was made."""
+    return F.abs(F.unix_timestamp(x.cast("timestamp")) - lit(int(time.time()))) < 600 if clock == "utc" else x
+
+
+s("d13_now", lambda: near(D.now(), "utc") & near(D.local_timestamp(), "utc") & (D.now().cast("timestamp_ntz") == D.local_timestamp()), "true", "region", "r_regionkey")
+s("d14_clock", lambda: near(D.clock_timestamp(), "utc") & (D.clock_timestamp() >= D.now() - F.expr("INTERVAL 1 MINUTE")) & (F.current_timestamp() == D.now()), "true", "region", "r_regionkey")
+s("d15_current_date", lambda: (D.current_date() == D.to_date(D.now())) & near(D.current_date(), "day").isin(*(datetime.datetime.fromtimestamp(time.time() + d, datetime.UTC).date() for d in (-600, 600))), "true", "region", "r_regionkey")
+s("d16_current_time", lambda: F.substring(D.current_time().cast("string"), 1, 8) == F.date_format(D.now(), "HH:mm:ss"), "true", "region", "r_regionkey")
 s("d17_to_timestamp", lambda: D.to_timestamp(col("event_id") * 1000.75), "make_timestamp(CAST(trunc(event_id * 1000.75) AS BIGINT) * 1000000)", E, "event_id", kind="timestamp_ntz")
 s("d18_to_char", lambda: D.to_char("ts", 'YYYY-MM-DD HH24:MI:SS "at" HH12 AM Mon Dy'), "strftime(ts, '%Y-%m-%d %H:%M:%S at %I %p %b %a')", E, "event_id")
 s("d20_interval", lambda: D.plus("ts", months=1, days=2, hours=3), "ts + INTERVAL 1 MONTH + INTERVAL 2 DAY + INTERVAL 3 HOUR", E, "event_id")

@@ -6,7 +6,10 @@ reaches it.
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -21,11 +24,13 @@ C, O, E = "customer", "orders", "events"
 
 
 def scratch(spark) -> str:
-    """A new folder that the driver and all executors share; of this machine only where no checkpoint folder is set."""
+    """A new folder that the driver and all executors share; of this machine only where all runs on it."""
     sc = spark.sparkContext
     shared = sc._jsc.sc().getCheckpointDir()
-    base = shared.get() if shared.isDefined() else sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siltstone-")
-    return f"{base}/scratch-{uuid.uuid4().hex}"
+    base = shared.get() if shared.isDefined() else sc.getConf().get("spark.checkpoint.dir")
+    if not base and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='siltstone-')}/scratch-{uuid.uuid4().hex}"
 
 
 @query("s01_scan", "SELECT c_name, c_acctbal FROM customer")
@@ -145,17 +150,41 @@ def s16(spark, sf_dir):
     return spark.createDataFrame([(io.version(),)], "version string")
 
 
-@query("s17_cancel", "SELECT 0 AS stopped")
+@query("s17_cancel", "SELECT 1 AS stopped, true AS went_on")
 def s17(spark, sf_dir):
-    with io.cancellable(spark, "siltstone-s17"):
-        stopped = io.cancel(spark, "siltstone-s17")
-    return spark.createDataFrame([(len(stopped),)], "stopped int")
+    """A query that would take hours is started under a tag and stopped; the session goes on."""
+    tag, ended = f"siltstone-{uuid.uuid4().hex}", []
+
+    def endless() -> None:
+        with io.cancellable(spark, tag):
+            try:
+                spark.range(10**15).selectExpr("sum(id % 7) AS x").collect()
+            except Exception as e:  # noqa: BLE001 - how it ends is the point
+                ended.append(e)
+
+    thread = threading.Thread(target=endless, daemon=True)
+    thread.start()
+    for _ in range(600):
+        if io.cancel(spark, tag) or ended:
+            break
+        time.sleep(0.1)
+    thread.join(60)
+    stopped = sum("cancel" in str(e).lower() for e in ended)
+    return spark.createDataFrame([(stopped, spark.range(3).count() == 3)], "stopped int, went_on boolean")
+
+
+@query("s18_retry", "SELECT count(*) AS n, 2 AS attempts FROM orders")
+def s18(spark, sf_dir):
+    """A read whose first attempt fails as a lost connection does."""
+    attempts = []
 
+    def read():
+        attempts.append(1)
+        if len(attempts) == 1:
+            raise ConnectionError("lost")
+        return table(spark, sf_dir, O).agg(F.count("*").alias("n"))
 
-@query("s18_retry", "SELECT count(*) AS n FROM orders")
-def s18(spark, sf_dir):
-    # tasks are retried by Spark; nothing is asked for here
-    return table(spark, sf_dir, O).agg(F.count("*").alias("n"))
+    return io.retry(read).withColumn("attempts", lit(len(attempts)))
 
 
 @query("u01_function_surface", "SELECT c_custkey, upper(c_name) AS a, length(c_name) AS b FROM customer")
@@ -190,8 +219,9 @@ def t01_session(spark, sf_dir):
     return windows.sessions(table(spark, sf_dir, E), "6 hours", ["user_id"], {"n": F.count("*")}).select("user_id", col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("t01_stream", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("t01_stream", "SELECT * FROM (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL) WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events)")
 def t01_stream(spark, sf_dir):
-    out = scratch(spark)
+    """The windows that are final once the latest event has been seen."""
     stream = spark.readStream.schema(table(spark, sf_dir, E).schema).parquet(f"{sf_dir}/events.parque[t]")
-    return windows.run_to_end(windows.tumbling(stream.withColumn("ts", col("ts").cast("timestamp")), "1 day", ["event_type"], {"n": F.count("*")}, late="0 seconds"), out).select(col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    counts = windows.tumbling(stream.withColumn("ts", col("ts").cast("timestamp")), "1 day", ["event_type"], {"n": F.count("*")}, late="0 seconds")
+    return windows.run_to_end(counts, scratch(spark)).select(col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

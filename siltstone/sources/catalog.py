@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..operators.collapsing import Collapsing
-from .types import aggregate_of, schema
+from .types import aggregate_of, arguments, schema
 
 TABLE_OPTIONS = frozenset({"database", "table_name", "engine", "fetch_size"})
 
@@ -25,13 +25,13 @@ class Engine:
     @staticmethod
     def parse(text: str | None) -> Engine:
         name, _, rest = (text or "").partition("(")
-        name = name.strip()
-        if name.endswith("AggregatingMergeTree"):
+        name = name.strip().lower()  # engines are named in any case
+        if name.endswith("aggregatingmergetree"):
             return Engine("aggregating")
-        if name.endswith("CollapsingMergeTree"):
-            sign = rest.rstrip(")").split(",")[-1 if "Versioned" not in name else 0].strip().strip('`"')
-            if "Replicated" in name:
-                sign = rest.rstrip(")").split(",")[-1].strip().strip('`"')
+        if name.endswith("collapsingmergetree"):
+            # a path and a replica may come before the sign, a version after it
+            args = [a.strip().strip('`"') for a in arguments(rest.rpartition(")")[0])]
+            sign = args[-2 if "versioned" in name else -1] if len(args) > ("versioned" in name) else ""
             if not re.fullmatch(r"\w+", sign):
                 raise ValueError(f"engine {text!r}: not a column name: {sign!r}")
             return Engine("collapsing", sign)

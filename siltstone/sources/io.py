@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import io
-from collections.abc import Iterator, Mapping, Sequence
+import time
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+T = TypeVar("T")
 CODECS = {"lz4": "lz4_raw", "zstd": "zstd", "none": "uncompressed", "snappy": "snappy"}
 
 
@@ -21,14 +25,37 @@ def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -
     return df.select(*columns) if columns is not None else df
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Tab-separated text with ``\\N`` for null. Arrays are written ``[1,2]`` or ``['a','b']``, as in JSON but for the quotes."""
-    from pyspark.sql.types import ArrayType, StructField, StructType
+#: Escapes of text cells but that of the backslash itself. Fixed values.
+ESCAPES = {"\\t": "\t", "\\n": "\n", "\\r": "\r", "\\b": "\b", "\\f": "\f", "\\0": "\0", "\\'": "'"}
+_BACKSLASH = "\ue000"  # stands for an escaped backslash meanwhile
+
+
+def _unescaped(x: Column) -> Column:
+    x = F.replace(x, F.lit("\\\\"), F.lit(_BACKSLASH))
+    for written, meant in ESCAPES.items():
+        x = F.replace(x, F.lit(written), F.lit(meant))
+    return F.replace(x, F.lit(_BACKSLASH), F.lit("\\"))
+
 
+def _array(cell: Column, kind: ArrayType) -> Column:
+    """``[1,NULL]``, ``['a','it\\'s']`` and nested ones: each quoted part becomes a JSON string."""
+    parts = F.regexp_extract_all(cell, F.lit(r"'(?:[^'\\]|\\.)*'|[^']+|'"), F.lit(0))
+    quoted = lambda p: F.substring(F.to_json(F.array(_unescaped(F.substring(p, F.lit(2), F.length(p) - 2)))), F.lit(2), F.length(F.to_json(F.array(_unescaped(F.substring(p, F.lit(2), F.length(p) - 2))))) - 2)
+    json = F.array_join(F.transform(parts, lambda p: F.when(p.startswith("'"), quoted(p)).otherwise(F.regexp_replace(p, "NULL", "null"))), "")
+    return F.from_json(json, kind, {"mode": "FAILFAST"})
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Tab-separated text with ``\\N`` for null and backslash escapes. Arrays are written ``[1,2]`` or ``['a','b']``."""
     want = StructType.fromDDL(schema)
-    raw = StructType([StructField(f.name, f.dataType if not isinstance(f.dataType, ArrayType) else StructType.fromDDL("x string")["x"].dataType) for f in want.fields])
+    raw = StructType([StructField(f.name, StringType() if isinstance(f.dataType, ArrayType) else f.dataType) for f in want.fields])
     df = spark.read.csv(path, sep="\t", nullValue="\\N", schema=raw, quote="", escape="", mode="FAILFAST", emptyValue="")
-    return df.select(*(F.from_json(F.translate(f.name, "'", '"'), f.dataType).alias(f.name) if isinstance(f.dataType, ArrayType) else F.col(f.name) for f in want.fields))
+
+    def value(f: StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        return _array(c, f.dataType) if isinstance(f.dataType, ArrayType) else _unescaped(c) if isinstance(f.dataType, StringType) else c
+
+    return df.select(*(value(f).alias(f.name) for f in want.fields))
 
 
 def batches(df: DataFrame, prefetch: bool = True) -> Iterator:
@@ -57,8 +84,6 @@ def copy_from(spark: SparkSession, source: str, path: str, columns: Sequence[str
     """COPY FROM a text file."""
     target = spark.read.parquet(path).schema
     names = list(columns or target.names)
-    from pyspark.sql.types import StructType
-
     rows = spark.read.csv(source, sep=sep, nullValue=null, header=header, schema=StructType([target[n] for n in names]), mode="FAILFAST")
     insert(rows, path)
 
@@ -115,6 +140,18 @@ def cancel(spark: SparkSession, tag: str) -> list[str]:
     return spark.interruptTag(tag)
 
 
+def retry(call: Callable[[], T], attempts: int = 3, on: tuple[type[Exception], ...] = (ConnectionError, TimeoutError), wait: float = 0.1) -> T:
+    """A driver-side call, again after a passing failure, each time after twice the wait. Failed tasks are Spark's to retry."""
+    for k in range(attempts):
+        try:
+            return call()
+        except on:
+            if k + 1 == attempts:
+                raise
+            time.sleep(wait * 2**k)
+    raise ValueError("retry: no attempts")
+
+
 def version() -> str:
     from .. import __version__
 

@@ -116,3 +116,22 @@ def test_dictionary(spark):
     df = spark.createDataFrame([(1, "key1"), (2, "none"), (None, "key2")], "a int, val string")
     got = dict_get(df, d, {"key1": "a", "key2": "val"}, {"val": "found", "n": "n"}).collect()
     assert sorted(map(tuple, got), key=str) == [(1, "key1", "val1", 5), (2, "none", "", 0), (None, "key2", "", 0)]
+
+
+def test_patterns_of_the_host(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    rep = lambda t, p, by, f="": one(R.regexp_replace(F.lit(t), p, by, f))
+    assert rep("abccd", r"(.)\1", "X") == "abXd" == rep("abccd", r"(.)\1", "X", "g") and rep("xaba", r"(a)(b)\1", r"<\2\1>") == "x<ba>"
+    assert rep("aa1b", r"(a)\11", "X") == "Xb" and rep("a]$", "[]$]$", "!") == "a]!" and rep("ab1 c", "[[:alpha:]]+", "W") == "W1 c"
+    assert rep("a&b", "[a&&b]+", "X") == "X" and rep("a[b", "[[]", "X") == "aXb" and rep("5%a", "[^[:digit:]a]", "X") == "5Xa"
+    assert R.groups(r"(a)[(](?:b)(?<n>c)\(") == 2 and one(R.regexp_like(F.lit("a\n"), "a$")) is False
+    for text, want in (("POSIX uses BRE and ERE.", "POSIX uses BRE and ERE\\."), ("re2 uses finite automata.", "re2 uses finite automata\\."), ("a b#c_d}e", "a b#c_d}e"), ("|()^$.[]?*+{:-\\", "\\" + "\\".join("|()^$.[]?*+{:-\\")), ("\0", "\\0")):
+        assert one(R.re2_quote_meta(F.lit(text))) == want
+
+
+def test_exact_division_and_quantiles(spark):
+    df = spark.createDataFrame([(1,), (2,), (2,), (3,)], "a long")
+    assert [df.agg(A.quantile_exact("a", p, "long").alias("q")).first().q for p in (0.0, 0.25, 0.5, 0.75, 1.0)] == [1, 2, 2, 3, 3]
+    assert df.agg(A.quantile_exact(F.col("a") * 2, 0.5, "int", where=F.col("a") > 1).alias("q")).first().q == 4
+    big = spark.createDataFrame([(9007199254740993, 1), (-9223372036854775807, 2), (-7, 2)], "a long, b long")
+    assert [r.q for r in big.select(M.div("a", "b").alias("q")).collect()] == [9007199254740993, -4611686018427387903, -3]

@@ -25,6 +25,9 @@ def test_types():
 
 def test_engines_and_options():
     assert catalog.Engine.parse("CollapsingMergeTree(sign)") == catalog.Engine("collapsing", "sign") and catalog.Engine.parse("AggregatingMergeTree").kind == "aggregating" and catalog.Engine.parse(None).kind == "default"
+    for text in ("collapsingmergetree(sign)", "ReplicatedCollapsingMergeTree('/a', 'b', sign)", "VersionedCollapsingMergeTree(sign, v)", "replicatedVersionedCollapsingMergeTree('/a,b', 'c', `sign`, v)"):
+        assert catalog.Engine.parse(text) == catalog.Engine("collapsing", "sign"), text
+    assert catalog.Engine.parse("replicatedaggregatingmergetree('/a', 'b')").kind == "aggregating"
     for bad in ("CollapsingMergeTree(sign) + 1)", "CollapsingMergeTree(a; DROP TABLE x)", "CollapsingMergeTree('x')"):
         with pytest.raises(ValueError):
             catalog.Engine.parse(bad)
@@ -93,3 +96,47 @@ def test_not_in_and_groups_frames(spark):
     df = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 5)], "id int, k int")
     got = rel.groups_frame(df, [], [F.col("k")], -1, 0, {"n": F.count("*")}).collect()
     assert {r.id: r.n for r in got} == {1: 2, 2: 2, 3: 3, 4: 2}
+
+
+def test_tsv_cells_with_quotes_and_escapes(spark, tmp_path):
+    (tmp_path / "q.tsv").write_text("1\t['it\\'s','b\"c','x,[y]','NULL',NULL,'\\\\\\'','a\\tb']\ta\\tb\\\\n\n2\t[]\t\\N\n")
+    (tmp_path / "n.tsv").write_text("1\t[[1,2],[],[NULL]]\n")
+    got = sorted(tuple(r) for r in io.read_tsv(spark, str(tmp_path / "q.tsv"), "k int, v array<string>, s string").collect())
+    assert got == [(1, ["it's", 'b"c', "x,[y]", "NULL", None, "\\'", "a\tb"], "a\tb\\n"), (2, [], None)]
+    assert io.read_tsv(spark, str(tmp_path / "n.tsv"), "k int, v array<array<int>>").first().v == [[1, 2], [], [None]]
+    (tmp_path / "bad.tsv").write_text("1\t[1,\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        io.read_tsv(spark, str(tmp_path / "bad.tsv"), "k int, v array<int>").collect()
+
+
+def test_retry():
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise TimeoutError
+        return "ok"
+
+    assert io.retry(flaky, wait=0) == "ok" and len(calls) == 3
+    with pytest.raises(KeyError):
+        io.retry(lambda: {}["x"], wait=0)
+    with pytest.raises(TimeoutError):
+        calls.clear()
+        io.retry(flaky, attempts=2, wait=0)
+
+
+def test_a_stream_drops_late_rows(spark, tmp_path):
+    import datetime as dt
+    import os
+
+    from siltstone.streaming import windows
+
+    day = lambda d, h=1: dt.datetime(2026, 1, d, h)
+    for k, rows in enumerate(([(day(1), 1), (day(2), 1), (day(10), 1)], [(day(12), 1), (day(10, 5), 1)], [(day(2, 5), 100), (day(20), 1)])):
+        spark.createDataFrame(rows, "ts timestamp, x int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        new = sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime)[-1]
+        os.utime(new, (1_700_000_000 + 100 * k,) * 2)
+    stream = spark.readStream.schema("ts timestamp, x int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = windows.run_to_end(windows.tumbling(stream, "1 day", [], {"n": F.sum("x")}, late="2 days"), str(tmp_path / "out"))
+    assert sorted((r.start.day, r.n) for r in out.collect()) == [(1, 1), (2, 1), (10, 2), (12, 1)]
