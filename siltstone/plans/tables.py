@@ -152,17 +152,18 @@ def s16(spark, sf_dir):
 
 @query("s17_cancel", "SELECT 1 AS stopped, true AS went_on")
 def s17(spark, sf_dir):
-    """A query that would take hours is started under a tag and stopped; the session goes on."""
+    """A query that sleeps in many tasks is started under a tag and stopped; the session goes on."""
     tag, ended = f"siltstone-{uuid.uuid4().hex}", []
 
-    def endless() -> None:
+    def slow() -> None:
         with io.cancellable(spark, tag):
             try:
-                spark.range(10**15).selectExpr("sum(id % 7) AS x").collect()
+                sleep = F.java_method(lit("java.lang.Thread"), lit("sleep"), lit(250).cast("bigint"))
+                spark.range(0, 1000, 1, 1000).select(F.length(sleep).alias("x")).where("x >= 0").collect()
             except Exception as e:  # noqa: BLE001 - how it ends is the point
                 ended.append(e)
 
-    thread = threading.Thread(target=endless, daemon=True)
+    thread = threading.Thread(target=slow, daemon=True)
     thread.start()
     for _ in range(600):
         if io.cancel(spark, tag) or ended:

@@ -123,21 +123,30 @@ def analyze(spark: SparkSession, table: str) -> None:
 
 
 def cancellable(spark: SparkSession, tag: str) -> contextlib.AbstractContextManager:
-    """Jobs started inside can be stopped by ``cancel(spark, tag)``."""
+    """Jobs started inside can be stopped by ``cancel(spark, tag)`` from any thread."""
+    sc = spark.sparkContext
 
     @contextlib.contextmanager
     def tagged() -> Iterator[None]:
-        spark.addTag(tag)
+        sc.addJobTag(tag)
         try:
             yield
         finally:
-            spark.removeTag(tag)
+            sc.removeJobTag(tag)
 
     return tagged()
 
 
-def cancel(spark: SparkSession, tag: str) -> list[str]:
-    return spark.interruptTag(tag)
+def cancel(spark: SparkSession, tag: str) -> list[int]:
+    """Stops the running jobs with the tag; their numbers. A session's own tags are known to the thread that set them only,
+    so the tag is one of the context."""
+    sc = spark.sparkContext
+    tracker = sc._jsc.sc().statusTracker()
+    running = set(tracker.getActiveJobIds())
+    jobs = sorted(j for j in tracker.getJobIdsForTag(tag) if j in running)
+    if jobs:
+        sc.cancelJobsWithTag(tag)
+    return jobs
 
 
 def retry(call: Callable[[], T], attempts: int = 3, on: tuple[type[Exception], ...] = (ConnectionError, TimeoutError), wait: float = 0.1) -> T:
