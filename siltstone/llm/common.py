@@ -205,7 +205,8 @@ def forget(settled: DataFrame) -> None:
 
 def tidy(spark: SparkSession) -> None:
     """Asks the driver's JVM to collect its garbage. Plans of many small steps are garbage at once, but the JVM lets its heap
-    grow to its limit before it looks; a driver with little memory beside the heap is then too small."""
+    grow to its limit before it looks; a driver with little memory beside the heap is then too small. Done behind each
+    settled step: a few tenths of a second, once for work of many tasks."""
     spark.sparkContext._jvm.System.gc()
 
 
@@ -240,6 +241,7 @@ def settle(df: DataFrame) -> DataFrame:
     shared_folder(spark)
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         out = df.select("*").checkpoint(eager=True)
+    tidy(spark)
     written = _written.get()
     if written is not None and (path := _place(out)):
         written.append(path)

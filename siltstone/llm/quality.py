@@ -91,19 +91,21 @@ class Model:
         return (self.vectors.astype(np.float64) @ self.output.astype(np.float64)) @ np.array([-1.0, 1.0])
 
 
-def bags(values: list[str], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text its distinct buckets and their shares of the text's features."""
-    return bags_of(pa.array(values, pa.large_string()), s)
-
-
-def bags_of(column: pa.Array, s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
+def counted(column: pa.Array, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct buckets, ascending, and how often each is there."""
     buf, offsets = texts(column)
     for i in range(len(column)):
         f, _ = features(buf, offsets, i, i + 1, s)
-        ids, n = np.unique(np.concatenate(f), return_counts=True)
-        out.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
-    return out
+        yield np.unique(np.concatenate(f), return_counts=True)
+
+
+def shares(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
+
+
+def bags(values: list[str], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct buckets and their shares of the text's features."""
+    return [shares(*x) for x in counted(pa.array(values, pa.large_string()), s)]
 
 
 class Packed:
@@ -116,8 +118,8 @@ class Packed:
         return len(self.cells)
 
     def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, share = self.cells[k]
-        return unpack(ids, np.int32), unpack(share, np.float32)
+        steps, n = self.cells[k]
+        return shares(np.cumsum(unpack(steps, np.uint32)), unpack(n, np.uint32))
 
 
 def train(docs: Sequence[tuple[np.ndarray, np.ndarray]], labels: list[int], s: Settings = Settings()) -> Model:
@@ -176,13 +178,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, s: Sett
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = bags_of(b.column("text"), s)
-            cells = [pa.array([pack(x[k]) for x in own], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("text_hash"), *cells], ["doc_id", "quality", "text_hash", "ids", "share"])
-
-    own = rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(featured, rows.select("doc_id", "quality").withColumn("text_hash", F.lit(0).cast("long")).schema.add("ids", "binary").add("share", "binary")).collect()
-    own.sort(key=lambda r: (r.doc_id, r.text_hash))
-    cells, known = Packed([(r.ids, r.share) for r in own]), [r.quality for r in own]
+            own = [(pack(np.diff(ids, prepend=0).astype(np.uint32)), pack(n.astype(np.uint32))) for ids, n in counted(b.column("text"), s)]
+            cells = [pa.array([x[k] for x in own], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("text_hash"), *cells], ["doc_id", "quality", "text_hash", "steps", "n"])
+
+    own = rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(featured, rows.select("doc_id", "quality").withColumn("text_hash", F.lit(0).cast("long")).schema.add("steps", "binary").add("n", "binary"))
+    tidy(docs.sparkSession)
+    own = sorted(own.collect(), key=lambda r: (r.doc_id, r.text_hash))
+    cells, known = Packed([(r.steps, r.n) for r in own]), [r.quality for r in own]
     del own
     tidy(docs.sparkSession)  # the rows' copies in the JVM
     return train(cells, known, s)
