@@ -10,27 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, settle
+from .common import fixed_plan, forget, settle
 
 SALTS = 256
 
 
 def _least(e: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``e`` (u, v) with the part of each edge, and for each node and part (u, s) the node's smallest neighbour m."""
-    salted = e.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    """``e`` (u, v) dealt by node and part s, and for each node and part (u, s) the node's smallest neighbour m."""
+    salted = e.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).repartition("u", "s")
     parts = salted.groupBy("u", "s").agg(F.min("v").alias("m"))
     # merged, as all joins here: a broadcast of every round would stay in the driver's memory
     return salted, parts.select("u", "s").hint("merge").join(parts.groupBy("u").agg(F.min("m").alias("m")), "u")
 
 
-def _large(e: DataFrame) -> DataFrame:
-    both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def _round(e: DataFrame) -> DataFrame:
+    """Each edge, seen from its larger end, now leads to the smallest neighbour of that end; so does that end."""
+    both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     salted, least = _least(both)
-    return salted.where("v > u").join(least.hint("merge"), ["u", "s"]).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u != v").distinct()
-
-
-def _small(e: DataFrame) -> DataFrame:
-    salted, least = _least(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    large = salted.where("v > u").join(least.hint("merge"), ["u", "s"]).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u != v")
+    salted, least = _least(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     moved = salted.join(least.hint("merge"), ["u", "s"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -46,6 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(now) == state or not now.n:
             break
         state, old = tuple(now), e
-        e = settle(_small(_large(e)))
+        with fixed_plan(e.sparkSession):  # plans that are made anew after each of their steps would fill the driver's memory
+            e = settle(_round(e))
         forget(old)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
