@@ -162,12 +162,18 @@ def regexp_replace(x: Str, pattern: str, by: str, flags: str = "") -> Column:
     c = col(x)
     if "g" in flags:
         return F.regexp_replace(c, java(pattern, flags), replacement(by))
-    # what comes before the first match is group 1 and the match group 2, so the user's groups move by two
+    p, by = first_match(pattern, by, flags)
+    return F.regexp_replace(c, p, by)
+
+
+def first_match(pattern: str, by: str, flags: str = "") -> tuple[str, str]:
+    """Java's pattern and replacement for the first match only: what comes before it is group 1 and the match group 2, so the
+    user's groups move by two."""
     p = java(pattern, flags)
     mode = re.match(r"\(\?([ism]+)\)", p)
     inner = shifted(p[mode.end() :] if mode else p, 2)
     inner = f"(?{mode[1]}:{inner})" if mode else inner
-    return F.regexp_replace(c, rf"\A((?s:.*?))({inner})", "$1" + replacement(by, 2))
+    return rf"\A((?s:.*?))({inner})", "$1" + replacement(by, 2)
 
 
 # RE2 functions

@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import registry
-from ..sources import catalog, io, settings
+from ..sources import catalog, dialect, io, settings
 from ..streaming import windows
 from .common import col, lit, table
 from .registry import query
@@ -188,10 +188,48 @@ def s18(spark, sf_dir):
     return io.retry(read).withColumn("attempts", lit(len(attempts)))
 
 
-@query("u01_function_surface", "SELECT c_custkey, upper(c_name) AS a, length(c_name) AS b FROM customer")
+def spoken(name: str, text: str, duck: str, *tables: str) -> None:
+    """A statement of the dialect, run as it is written; and another engine's."""
+
+    @query(name, duck)
+    def run(spark, sf_dir):
+        return dialect.sql(spark, text, **{t: table(spark, sf_dir, t) for t in tables})
+
+
+spoken(
+    "u01_sql_aggregates",
+    """SELECT o_orderstatus, argMax(o_orderkey, o_totalprice) AS best, argMin(o_orderkey, o_totalprice) AS least, uniqExact(o_custkey) AS people,
+uniqExact(o_custkey, o_orderpriority) FILTER (WHERE o_totalprice > 1000) AS pairs, quantile(0.25) WITHIN GROUP (ORDER BY o_totalprice) AS q,
+string_agg(DISTINCT o_orderstatus, ',') AS s, bool_and(o_totalprice > 0) AS positive FROM orders GROUP BY o_orderstatus""",
+    """SELECT o_orderstatus, arg_max(o_orderkey, o_totalprice) AS best, arg_min(o_orderkey, o_totalprice) AS least, count(DISTINCT o_custkey) AS people,
+count(DISTINCT (o_custkey, o_orderpriority)) FILTER (WHERE o_totalprice > 1000) AS pairs, quantile_cont(o_totalprice, 0.25) AS q,
+o_orderstatus AS s, bool_and(o_totalprice > 0) AS positive FROM orders GROUP BY o_orderstatus""",
+    O,
+)
+spoken(
+    "u01_sql_patterns",
+    r"""SELECT p_partkey, re2extract(p_name, '(\w+)$') AS last, re2countmatches(p_name, '[aeiou]') AS n, re2multimatchanyindex(p_name, '^q', 'r') AS i,
+regexp_replace(p_name, '([a-z])([a-z])', '\2\1') AS swapped, p_name ~* '^[A-M]' AND p_brand !~ '#1' AS early FROM part WHERE p_name ~ '[aeiou]' OR p_size + 1 > 20""".replace("\\\\", "\\"),
+    r"""SELECT p_partkey, regexp_extract(p_name, '(\w+)$', 1) AS last, CAST(len(regexp_extract_all(p_name, '[aeiou]')) AS INTEGER) AS n, CASE WHEN regexp_matches(p_name, '^q') THEN 1 WHEN regexp_matches(p_name, 'r') THEN 2 ELSE 0 END AS i,
+regexp_replace(p_name, '([a-z])([a-z])', '\2\1') AS swapped, regexp_matches(lower(p_name), '^[a-m]') AND NOT regexp_matches(p_brand, '#1') AS early FROM part WHERE regexp_matches(p_name, '[aeiou]') OR p_size + 1 > 20""".replace("\\\\", "\\"),
+    "part",
+)
+spoken(
+    "u01_sql_json_arrays",
+    """SELECT event_id, props ->> 'k' AS k, props -> 'k' AS j, (ARRAY[event_id, user_id, 7])[2] AS second, (ARRAY[1, 2, 3, 4])[2:3] AS mid, toUInt16(user_id % 1000) AS u,
+ARRAY[event_id % 3, 1] @> ARRAY[1] AS has, ARRAY[event_id % 3] && ARRAY[0, 2] AS meets, idx(ARRAY[5, 6], 6) AS at, event_id::text || '!' AS t FROM events""",
+    """SELECT event_id, props ->> 'k' AS k, CAST(props -> 'k' AS VARCHAR) AS j, user_id AS second, [2, 3] AS mid, CAST(user_id % 1000 AS INTEGER) AS u,
+true AS has, event_id % 3 IN (0, 2) AS meets, 2 AS at, event_id || '!' AS t FROM events""",
+    E,
+)
+
+
+@query("u01_function_surface", "SELECT 0 AS unknown")
 def u01(spark, sf_dir):
-    f = registry.FUNCTIONS
-    return table(spark, sf_dir, C).select("c_custkey", f["upper"]("c_name").alias("a"), f["length"]("c_name").cast("long").alias("b"))
+    """Every registered function is callable from the dialect's SQL: Spark's own by that name, or a translated one."""
+    known = {f.name.lower() for f in spark.catalog.listFunctions()} | {"extract", "string_agg", "array_agg", "count", "now", "date"}
+    missing = [n for n in registry.FUNCTIONS if n.lower() not in dialect.CALLS and n.lower() not in known]
+    return spark.createDataFrame([(len(missing),)], "unknown int")
 
 
 @query("u02_function_registry", "SELECT 1 AS known")

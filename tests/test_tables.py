@@ -140,3 +140,26 @@ def test_a_stream_drops_late_rows(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, x int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = windows.run_to_end(windows.tumbling(stream, "1 day", [], {"n": F.sum("x")}, late="2 days"), str(tmp_path / "out"))
     assert sorted((r.start.day, r.n) for r in out.collect()) == [(1, 1), (2, 1), (10, 2), (12, 1)]
+
+
+def test_the_dialect_in_sql(spark):
+    from siltstone.functions import registry
+    from siltstone.sources import dialect
+
+    t = spark.createDataFrame([(1, 1, "a,b", '{"k": {"z": "q"}, "a b": 3}', [1, 2, 3]), (2, 2, "foo1", '{"k": 1}', [3]), (2, 3, "Foo", "{}", [])], "a int, b int, s string, j string, v array<int>")
+    run = lambda text: [tuple(r) for r in dialect.sql(spark, text, t=t).collect()]
+    assert run("SELECT argMax(a, b), argMin(a, b), uniqExact(a) FILTER (WHERE b > 1), uniqExact(a, b), quantileExact(a), quantile(0.25) WITHIN GROUP (ORDER BY a) FROM t") == [(2, 1, 1, 3, 2.0, 1.5)]
+    assert run(r"SELECT b FROM t WHERE s ~ '^fo+\d' OR s !~* 'f' AND a + 1 = 2 ORDER BY b") == [(1,), (2,)]
+    assert run("SELECT j -> 'k' ->> 'z', j -> 'k', j ->> 'a b', v[1], v[2:], v[:2] FROM t ORDER BY b") == [("q", '{"z":"q"}', "3", 1, [2, 3], [1, 2]), (None, "1", None, 3, [], [3]), (None, None, None, None, [], [])]
+    assert run("SELECT b FROM t WHERE v @> ARRAY[1,2] AND v && ARRAY[2] AND NOT v <@ ARRAY[9]") == [(1,)]
+    assert run("SELECT string_agg(s, '|' ORDER BY s DESC), array_agg(b ORDER BY b) FROM t WHERE a::text = '2'") == [("foo1|Foo", [2, 3])]
+    assert run(r"SELECT 'it''s \d', $$x'y$$, \"b\" AS \"the b\" FROM t WHERE b = 1".replace('\\"', '"')) == [("it's \\d", "x'y", 1)]
+    assert run("SELECT t.a, count(*) FROM t JOIN (SELECT a FROM t WHERE s ~* 'FOO') u ON t.a = u.a GROUP BY t.a HAVING count(*) > 1") == [(2, 4)]
+    assert run("SELECT b FROM t WHERE s ~ lower(s) -- a pattern from a column\nORDER BY b") == [(1,), (2,)]
+    assert run(r"SELECT regexp_match(s, '(f)(o)'), re2multimatchallindices(s, 'o', '^F'), re2regexpquotemeta('a.b c') FROM t WHERE b = 3") == [([], [1, 2], r"a\.b c")]
+    for bad in ("SELECT (1", "SELECT 1]", "SELECT ?"):
+        with pytest.raises(ValueError):
+            dialect.translate(bad)
+    known = {f.name.lower() for f in spark.catalog.listFunctions()}
+    assert all(n.lower() in dialect.CALLS or n.lower() in known for n in registry.FUNCTIONS)
+    assert run("SELECT array_positions(v, 2), array_replace(v, 2, 9), array_dims(v), array_upper(v, 1), re2extractallgroupsvertical(s, '(.),?(b)') FROM t WHERE b = 1") == [([2], [1, 9, 3], "[1:3]", 3, [["a", "b"]])]
