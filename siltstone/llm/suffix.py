@@ -15,6 +15,10 @@ fingerprint go to shards by their own hash, so that one passage in a third of al
 sorts its distinct segments in blocks of bounded size and returns, for each string, the smallest document that has it.
 (3) Each batch removes what a smaller document has. Exact copies of a text are treated by step 2 like any other.
 
+Disk. Neighbouring segments overlap, and cut up for many shards they hardly compress, so all segments together are several
+times the texts. What is written between the steps is where a batch's segments lie; their bytes are cut from the batches
+when they are sent, to the shards of one round after the other, and go as soon as a round's answers are written.
+
 Nulls and edges: a null text is empty; a document with a null id removes nothing from others and loses nothing; rows
 with equal ids are not smaller than each other; texts under ``length`` bytes lose nothing; an empty table gives no
 rows. Further columns are ignored.
@@ -25,6 +29,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +51,9 @@ class Settings:
     often: int = 256
     #: Input bytes for each shard, about.
     shard: int = 12 << 20
+    #: Segments are sent in this many rounds, or fewer where a round would have less than ``together`` shards.
+    rounds: int = 8
+    together: int = 16
 
 
 # ---------------------------------------------------------------- suffix arrays
@@ -201,7 +209,9 @@ def cut(runs: tuple[np.ndarray, ...], most: int) -> tuple[np.ndarray, ...]:
 
 REQUEST = "shard long, batch long, prints binary"
 ANSWER = "batch long, common binary, often binary"
-SEGMENTS = "batch long, shard long, sizes binary, docs binary, prints binary, bytes binary, runs binary"
+#: In rows of round -1 the runs of a batch, in the others where the segments of a round lie, in order of shard and fingerprint.
+FOUND = "batch long, round long, shards binary, starts binary, counts binary, prints binary, runs binary"
+SEGMENTS = "batch long, shard long, sizes binary, docs binary, prints binary, bytes binary"
 LEAST = "batch long, shard long, least binary"
 
 
@@ -249,8 +259,18 @@ def answer(s: Settings):
     return run
 
 
+def rounds(shards: int, s: Settings) -> int:
+    return max(1, min(s.rounds, shards // s.together))
+
+
+def columns(cells: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows of a schema of longs and binaries."""
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([c[k] for c in cells], pa.int64() if f[1] == "long" else pa.binary()) for k, f in enumerate(fields)], [f[0] for f in fields])
+
+
 def segments(shards: int, s: Settings):
-    """For each batch and shard the distinct segments whose strings other documents may have, and where the batch has them."""
+    """For each batch and round where the distinct segments are whose strings other documents may have, and where the batch has them."""
 
     def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.each(arrived):
@@ -270,7 +290,7 @@ def segments(shards: int, s: Settings):
             parts = [cut(tuple(x[wanted & ~hot] for x in runs), 64), cut(tuple(x[wanted & hot] for x in runs), 1)]
             whole = buf.tobytes()
             known: dict[bytes, int] = {}
-            least, key, place = [], [], []
+            least, key, begin, place = [], [], [], []
             for p, single in zip(parts, (False, True), strict=True):
                 for d, a, n, f in zip(doc[p[0]].tolist(), p[1].tolist(), p[2].tolist(), p[3].tolist(), strict=True):
                     b = whole[a : a + n - 1 + s.length]
@@ -279,27 +299,48 @@ def segments(shards: int, s: Settings):
                         k = known[b] = len(known)
                         least.append(d)
                         key.append(hash_bytes(b) if single else f)
+                        begin.append(a)
                     elif d < least[k]:
-                        least[k] = d
+                        least[k], begin[k] = d, a
                     place.append(k)
             if not known:
                 continue
-            every, least, key = list(known), np.array(least, np.int64), np.array(key, U)
+            key, begin = np.array(key, U), np.array(begin, np.int32)
+            strings = (np.array([len(b) for b in known]) - s.length + 1).astype(np.uint16)
+            del known
             shard = (key % U(shards)).astype(np.int64)
             order = np.lexsort((key, shard))
             back = np.empty(len(order), np.int64)
             back[order] = np.arange(len(order))
-            text, start, count = (np.concatenate([a, b]) for a, b in zip(parts[0][:3], parts[1][:3], strict=True))
-            own = B.pack(np.stack([text, start, count, back[np.array(place)]]).astype(np.int32))
-            size = np.array([len(x) for x in every])[order]
-            edge = np.flatnonzero(np.diff(shard[order], prepend=-1))
-            out: list[list] = [[], [], [], [], [], [], []]
+            start, count = (np.concatenate([a, b]) for a, b in zip(parts[0][1:3], parts[1][1:3], strict=True))
+            out = [(row["batch"], -1, None, None, None, None, B.pack(np.stack([np.diff(start, prepend=0), count, back[np.array(place)]]).astype(np.int32)))]
+            turn = shard[order] * rounds(shards, s) // shards
+            edge = np.flatnonzero(np.diff(turn, prepend=-1))
             for a, b in zip(edge, [*edge[1:], len(order)], strict=True):
                 k = order[a:b]
-                cells = (row["batch"], int(shard[k[0]]), B.pack(size[a:b].astype(np.uint32)), B.pack(least[k]), B.pack((key[k] // U(shards)).astype(np.uint32)), zstd(b"".join(every[x] for x in k)), own if a == 0 else None)
-                for column, value in zip(out, cells, strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:2]), *(pa.array(c, pa.binary()) for c in out[2:])], SEGMENTS.replace(",", "").split()[::2])
+                prints = (key[k] // U(shards)).astype(np.uint32)  # ascending in a shard, so the steps are small
+                out.append((row["batch"], int(turn[a]), B.pack(shard[k].astype(np.int32)), B.pack(begin[k]), B.pack(strings[k]), B.pack(np.diff(prints, prepend=np.uint32(0))), None))
+            yield columns(out, FOUND)
+
+    return run
+
+
+def send(s: Settings):
+    """For each batch and shard of a round the segments themselves."""
+
+    def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in B.each(arrived):
+            ids, buf, offsets = B.opened(row)
+            shard, start, count, prints = (B.unpack(row[c], d) for c, d in (("shards", np.int32), ("starts", np.int32), ("counts", np.uint16), ("prints", np.uint32)))
+            prints = np.cumsum(prints, dtype=np.uint32)
+            docs = np.array([NO_DOC if x is None else x for x in ids], np.int64)[np.searchsorted(offsets, start, "right") - 1]
+            size = count.astype(np.uint32) + np.uint32(s.length - 1)
+            whole, out = buf.tobytes(), []
+            edge = np.flatnonzero(np.diff(shard, prepend=-1))
+            for a, b in zip(edge, [*edge[1:], len(shard)], strict=True):
+                data = b"".join([whole[x : x + n] for x, n in zip(start[a:b].tolist(), size[a:b].tolist(), strict=True)])
+                out.append((row["batch"], int(shard[a]), B.pack(size[a:b]), B.pack(docs[a:b]), B.pack(prints[a:b]), zstd(data)))
+            yield columns(out, SEGMENTS)
 
     return run
 
@@ -375,8 +416,11 @@ def remove(s: Settings, texts_too: bool, rest: pa.Schema | None):
             ids, buf, offsets = B.opened(row)
             mark = np.zeros(len(buf) + 1, np.int32)
             if row["runs"] is not None:
-                text, start, count, segment = B.unpack(row["runs"], np.int32).astype(np.int64).reshape(4, -1)
-                size = np.concatenate([B.unpack(x["sizes"], np.uint32) for x in row["parts"]]).astype(np.int64) - s.length + 1
+                start, count, segment = B.unpack(row["runs"], np.int32).astype(np.int64).reshape(3, -1)
+                start = np.cumsum(start)
+                text = np.searchsorted(offsets, start, "right") - 1
+                size = np.zeros(segment.max() + 1, np.int64)
+                size[segment] = count
                 least = np.concatenate([repeated(x["least"]) for x in row["parts"]])
                 begin = (np.cumsum(size) - size)[segment]
                 k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -413,10 +457,10 @@ def remove(s: Settings, texts_too: bool, rest: pa.Schema | None):
 
 
 def _candidates(corpus: DataFrame, shards: int, parts: int, s: Settings) -> DataFrame:
-    """Each batch's segments whose strings other documents may have, for each shard."""
+    """Where each batch has segments whose strings other documents may have, for each round."""
     requests = corpus.mapInArrow(request(shards, s), REQUEST).repartition(parts, "shard")
     answers = requests.groupBy("shard").applyInArrow(answer(s), ANSWER).groupBy("batch").agg(F.collect_list("common").alias("common"), F.collect_list("often").alias("often"))
-    return corpus.select("batch", "ids", "lengths", "texts").join(answers.hint("merge"), "batch", "left").mapInArrow(segments(shards, s), SEGMENTS)
+    return corpus.select("batch", "ids", "lengths", "texts").join(answers.hint("merge"), "batch", "left").mapInArrow(segments(shards, s), FOUND)
 
 
 def dedup(docs: DataFrame, s: Settings = Settings(), texts_too: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -426,13 +470,13 @@ def dedup(docs: DataFrame, s: Settings = Settings(), texts_too: bool = False, ke
     shards = B.shards(corpus, 2 * s.shard)
     parts = partitions(docs)
     found = settle(_candidates(corpus, shards, parts, s))
-    least = found.drop("runs").repartition(parts, "shard").groupBy("shard").applyInArrow(compare(s), LEAST)
-    per_batch = (
-        found.select("batch", "shard", "sizes", "runs")
-        .join(least.hint("merge"), ["batch", "shard"])
-        .groupBy("batch")
-        .agg(F.max("runs").alias("runs"), F.sort_array(F.collect_list(F.struct("shard", "sizes", "least"))).alias("parts"))
-    )
+    answers = []
+    for k in range(rounds(shards, s)):
+        own = found.where(F.col("round") == k).drop("round", "runs")
+        sent = corpus.select("batch", "ids", "lengths", "texts").join(own.hint("merge"), "batch").mapInArrow(send(s), SEGMENTS)
+        answers.append(settle(sent.repartition(parts, "shard").groupBy("shard").applyInArrow(compare(s), LEAST)))
+    least = reduce(DataFrame.union, answers).groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("shard", "least"))).alias("parts"))
+    per_batch = found.where(F.col("round") == -1).select("batch", "runs").join(least.hint("merge"), "batch")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts_too
     rest = None
     if keep:

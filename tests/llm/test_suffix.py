@@ -72,3 +72,19 @@ def test_dedup_of_nothing_and_further_columns(spark):
     df = spark.createDataFrame([(1, "x" * 60, "u", 1), (2, "x" * 60, None, 2)], "doc_id long, text string, batch string, shard int")
     got = {r.doc_id: r for r in S.dedup(df, texts_too=True, keep=("batch", "shard")).collect()}
     assert got[1].kept_text == "x" * 60 and got[2].kept_text == "" and got[1].batch == "u" and got[2].shard == 2
+
+
+def test_found_segments_are_not_written_as_bytes(spark):
+    import string
+
+    from pyspark.sql import functions as F
+
+    from siltstone.llm import batches as B
+
+    rng = np.random.default_rng(3)
+    page = "".join(rng.choice(list(string.ascii_letters), 60000))
+    corpus = B.batched(spark.createDataFrame([(1, page), (2, page[100:])], "doc_id long, text string").coalesce(1), size=1)
+    found = S._candidates(corpus, 64, 4, S.Settings())
+    written = found.select(sum(F.coalesce(F.octet_length(f.name), F.lit(0)) for f in found.schema.fields if f.dataType.simpleString() == "binary").alias("n")).agg(F.sum("n")).first()[0]
+    texts = corpus.agg(F.sum(F.octet_length("texts"))).first()[0]
+    assert 0 < written < texts, (written, texts)
