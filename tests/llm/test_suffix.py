@@ -88,3 +88,16 @@ def test_found_segments_are_not_written_as_bytes(spark):
     written = found.select(sum(F.coalesce(F.octet_length(f.name), F.lit(0)) for f in found.schema.fields if f.dataType.simpleString() == "binary").alias("n")).agg(F.sum("n")).first()[0]
     texts = corpus.agg(F.sum(F.octet_length("texts"))).first()[0]
     assert 0 < written < texts, (written, texts)
+
+
+def test_rounds_send_each_segment_once_and_match_brute_force(spark):
+    import hashlib
+
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    s = S.Settings(shard=256, rounds=3, together=2)
+    assert S.rounds(1, s) == 1 and S.rounds(5, s) == 2 and S.rounds(100, s) == 3
+    got = S.dedup(df, s).collect()
+    want = brute(rows, 50)
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted((tuple(r) for r in got), key=key) == sorted(((*w[:4], hashlib.sha256(w[4]).hexdigest()) for w in want), key=key)
