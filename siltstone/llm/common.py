@@ -16,6 +16,7 @@ from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -203,11 +204,30 @@ def forget(settled: DataFrame) -> None:
         delete(settled.sparkSession, path)
 
 
+def trim(spark: SparkSession) -> bool:
+    """Asks the driver's JVM to give back to the system what its own code has freed outside the heap. The C library keeps
+    that for each of the many threads that shuffles and broadcasts start. False where a JVM knows no such command."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    lang = jvm.java.lang
+    kinds, values = array(lang.Class, 4), array(lang.Object, 4)
+    for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[k] = lang.Class.forName(name)
+    for k, value in enumerate((jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", array(lang.Object, 0), array(lang.String, 0))):
+        values[k] = value
+    invoke = lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)  # the server's own class is in no open package
+    try:
+        invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        return False
+    return True
+
+
 def tidy(spark: SparkSession) -> None:
-    """Asks the driver's JVM to collect its garbage. Plans of many small steps are garbage at once, but the JVM lets its heap
-    grow to its limit before it looks; a driver with little memory beside the heap is then too small. Done behind each
-    settled step: a few tenths of a second, once for work of many tasks."""
+    """Asks the driver's JVM to collect its garbage, and to give back what it has freed outside the heap. Plans of many small
+    steps are garbage at once, but the JVM lets its heap grow to its limit before it looks; a driver with little memory
+    beside the heap is then too small. Done behind each settled step: a few tenths of a second, once for work of many tasks."""
     spark.sparkContext._jvm.System.gc()
+    trim(spark)
 
 
 @contextmanager
