@@ -208,28 +208,37 @@ def cut(runs: tuple[np.ndarray, ...], most: int) -> tuple[np.ndarray, ...]:
 # ---------------------------------------------------------------- the three steps
 
 REQUEST = "shard long, batch long, prints binary"
-ANSWER = "batch long, common binary, often binary"
+#: Of a batch's fingerprints in a shard, in the order of the request, a bit each: whether other batches have it, and very many.
+ANSWER = "batch long, shard long, common binary, often binary"
 #: In rows of round -1 the runs of a batch, in the others where the segments of a round lie, in order of shard and fingerprint.
 FOUND = "batch long, round long, shards binary, starts binary, counts binary, prints binary, runs binary"
 SEGMENTS = "batch long, shard long, sizes binary, docs binary, prints binary, bytes binary"
 LEAST = "batch long, shard long, least binary"
 
 
+def columns(cells: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows of a schema of longs and binaries."""
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([c[k] for c in cells], pa.int64() if f[1] == "long" else pa.binary()) for k, f in enumerate(fields)], [f[0] for f in fields])
+
+
+def requests(prints: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A batch's distinct fingerprints for each shard that has any, in ascending order."""
+    prints = distinct(prints)
+    shard = (prints % U(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    edge = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    yield from zip(shard[order][edge].tolist(), np.split(prints[order], edge[1:]), strict=False)
+
+
 def request(shards: int, s: Settings):
     """For each batch and shard the fingerprints of the batch."""
 
     def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.each(arrived):
             _, buf, offsets = B.opened(row)
-            prints = distinct(fingerprints(buf, offsets, s)[3])
-            shard = (prints % U(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            edge = np.flatnonzero(np.diff(shard[order], prepend=-1))
-            parts = np.split(prints[order], edge[1:])
-            if not len(prints):
-                continue
-            low = [p.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(shard[order][edge]), pa.array([row["batch"]] * len(parts), pa.int64()), pa.array(low, pa.binary())], ["shard", "batch", "prints"])
+            parts = requests(fingerprints(buf, offsets, s)[3], shards)
+            yield columns([(k, row["batch"], p.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for k, p in parts], REQUEST)
 
     return run
 
@@ -241,20 +250,19 @@ def wide(b: bytes) -> np.ndarray:
 
 
 def answer(s: Settings):
-    """A shard's fingerprints that several batches have, to each of these batches."""
+    """Which of a shard's fingerprints several batches have, to each of these batches."""
 
     def run(t: pa.Table) -> pa.Table:
-        batch = t.column("batch").to_numpy()
+        batch, shard = t.column("batch").to_numpy(), t.column("shard").to_numpy()
         parts = [wide(x.as_py()) for x in t.column("prints")]
         every, inverse, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        n, at, out = n[inverse], 0, ([], [], [])
+        n, at, out = n[inverse], 0, []
         for k, p in enumerate(parts):
             own = n[at : at + len(p)]
             at += len(p)
             if (own > 1).any():
-                for column, value in zip(out, (int(batch[k]), p[own > 1].tobytes(), p[own >= s.often].tobytes()), strict=True):
-                    column.append(value)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["batch", "common", "often"])
+                out.append((int(batch[k]), int(shard[k]), np.packbits(own > 1).tobytes(), np.packbits(own >= s.often).tobytes()))
+        return pa.Table.from_batches([columns(out, ANSWER)])
 
     return run
 
@@ -263,12 +271,6 @@ def rounds(shards: int, s: Settings) -> int:
     return max(1, min(s.rounds, shards // s.together))
 
 
-def columns(cells: list[tuple], schema: str) -> pa.RecordBatch:
-    """Rows of a schema of longs and binaries."""
-    fields = [f.split() for f in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([c[k] for c in cells], pa.int64() if f[1] == "long" else pa.binary()) for k, f in enumerate(fields)], [f[0] for f in fields])
-
-
 def segments(shards: int, s: Settings):
     """For each batch and round where the distinct segments are whose strings other documents may have, and where the batch has them."""
 
@@ -277,13 +279,16 @@ def segments(shards: int, s: Settings):
             ids, buf, offsets = B.opened(row)
             doc = np.array([NO_DOC if x is None else x for x in ids], np.int64)
             runs = fingerprints(buf, offsets, s)
+            asked = dict(requests(runs[3], shards))
             runs = tuple(x[doc[runs[0]] != NO_DOC] for x in runs)
             text, start, count, prints = runs
             first = np.unique(prints, return_index=True, return_inverse=True)
             several = np.zeros(len(first[0]), bool)  # in two documents of this batch
             several[first[2][doc[text] != doc[text][first[1]][first[2]]]] = True
-            common = np.sort(np.frombuffer(b"".join(row["common"] or []), U))
-            often = np.sort(np.frombuffer(b"".join(row["often"] or []), U))
+            common, often = (
+                np.sort(np.concatenate([np.zeros(0, U), *(asked[x["shard"]][np.unpackbits(np.frombuffer(x[c], np.uint8), count=len(asked[x["shard"]])).astype(bool)] for x in row["answers"] or [])]))
+                for c in ("common", "often")
+            )
             wanted = several | among(first[0], common)
             hot = among(first[0], often)[first[2]]
             wanted = wanted[first[2]]
@@ -458,8 +463,8 @@ def remove(s: Settings, texts_too: bool, rest: pa.Schema | None):
 
 def _candidates(corpus: DataFrame, shards: int, parts: int, s: Settings) -> DataFrame:
     """Where each batch has segments whose strings other documents may have, for each round."""
-    requests = corpus.mapInArrow(request(shards, s), REQUEST).repartition(parts, "shard")
-    answers = requests.groupBy("shard").applyInArrow(answer(s), ANSWER).groupBy("batch").agg(F.collect_list("common").alias("common"), F.collect_list("often").alias("often"))
+    asked = corpus.mapInArrow(request(shards, s), REQUEST).repartition(parts, "shard")
+    answers = asked.groupBy("shard").applyInArrow(answer(s), ANSWER).groupBy("batch").agg(F.collect_list(F.struct("shard", "common", "often")).alias("answers"))
     return corpus.select("batch", "ids", "lengths", "texts").join(answers.hint("merge"), "batch", "left").mapInArrow(segments(shards, s), FOUND)
 
 

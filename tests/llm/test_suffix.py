@@ -101,3 +101,19 @@ def test_rounds_send_each_segment_once_and_match_brute_force(spark):
     want = brute(rows, 50)
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
     assert sorted((tuple(r) for r in got), key=key) == sorted(((*w[:4], hashlib.sha256(w[4]).hexdigest()) for w in want), key=key)
+
+
+def test_answers_take_bits_not_fingerprints():
+    import pyarrow as pa
+
+    prints = np.arange(0, 64 * 4000, 64, dtype=np.uint64)
+    parts = dict(S.requests(prints, 64))
+    assert list(parts) == [0] and parts[0].tolist() == prints.tolist()
+    low = prints.view(np.uint8).reshape(-1, 8)[:, :6]
+    t = pa.table({"shard": [0] * 3, "batch": [7, 8, 9], "prints": [low.tobytes(), low[::2].tobytes(), low[1:2].tobytes()]})
+    got = S.answer(S.Settings(often=3))(t).to_pylist()
+    assert [(r["batch"], r["shard"]) for r in got] == [(7, 0), (8, 0), (9, 0)]
+    assert sum(len(r["common"]) + len(r["often"]) for r in got) <= 2 * 4000
+    bits = lambda b, n: np.unpackbits(np.frombuffer(b, np.uint8), count=n).tolist()
+    assert bits(got[0]["common"], 4000) == [1, 1] + [1, 0] * 1999 and bits(got[1]["common"], 2000) == [1] * 2000
+    assert not any(bits(got[0]["often"], 4000)) and bits(got[2]["common"], 1) == [1]
