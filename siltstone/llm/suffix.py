@@ -10,8 +10,9 @@ How it is distributed. Equal strings have equal fingerprints: of the hashes of a
 smallest one, leftmost in a tie. (1) Each batch of texts sends the set of its strings' fingerprints to shards, which tell
 the batch those that other documents have too, and those that very many batches have. Strings with any other fingerprint
 occur in one document only and are done. (2) The others, as segments of neighbouring strings with one fingerprint, equal
-segments of a batch only once with their smallest document, go to shards by fingerprint; strings of a very frequent
-fingerprint go to shards by their own hash, so that one passage in a third of all documents fills no task. Each shard
+segments of a batch only once with their smallest document, go to shards by fingerprint; strings of a fingerprint with
+very many different segments go to shards by their own hash, so that the edges of one passage in a third of all
+documents fill no task. Each shard
 sorts its distinct segments in blocks of bounded size and returns, for each string, the smallest document that has it.
 (3) Each batch removes what a smaller document has. Exact copies of a text are treated by step 2 like any other.
 
@@ -47,8 +48,10 @@ class Settings:
     length: int = 50
     #: Bytes whose hash is a fingerprint.
     gram: int = 16
-    #: Requests in which a fingerprint is very frequent.
+    #: Requests in which a fingerprint is frequent, and segments of the requests, distinct within each, that make it a
+    #: very frequent one. What many documents have alike are few distinct segments, and needs no splitting.
     often: int = 256
+    heavy: int = 1 << 14
     #: Input bytes for each shard, about.
     shard: int = 12 << 20
     #: Segments are sent in this many rounds, or fewer where a round would have less than ``together`` shards.
@@ -161,9 +164,10 @@ def smallest_documents(segments: list[bytes], docs: np.ndarray, length: int) ->
 MASK = U((1 << 48) - 1)
 
 
-def fingerprints(buf: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring strings with one fingerprint: text, start of the first string, number of strings, fingerprint."""
-    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U)]]
+def fingerprints(buf: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+    """Runs of neighbouring strings with one fingerprint: text, start of the first string, number of strings, fingerprint,
+    and a hash of the run's bytes."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, U)]]
     width = s.length - s.gram + 1
     for i, j in chunks(offsets, 1 << 18):
         lo, hi = int(offsets[i]), int(offsets[j])
@@ -191,7 +195,9 @@ def fingerprints(buf: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.
         start = np.flatnonzero(new)
         valid = np.concatenate([[0], np.cumsum(whole)])
         count = np.diff(valid[np.append(start, len(whole))])
-        for column, value in zip(out, (i + np.searchsorted(at, start, "right") - 1, start + lo, count, least[start]), strict=True):
+        with np.errstate(over="ignore"):
+            bytes_ = mix((sums[start + count + s.length - 1] - sums[start]) * down[start])
+        for column, value in zip(out, (i + np.searchsorted(at, start, "right") - 1, start + lo, count, least[start], bytes_), strict=True):
             column.append(value)
     return tuple(np.concatenate(x) for x in out)
 
@@ -207,7 +213,8 @@ def cut(runs: tuple[np.ndarray, ...], most: int) -> tuple[np.ndarray, ...]:
 
 # ---------------------------------------------------------------- the three steps
 
-REQUEST = "shard long, batch long, prints binary"
+#: Of each fingerprint of a batch, in how many distinct segments the batch has it.
+REQUEST = "shard long, batch long, prints binary, weights binary"
 #: Of a batch's fingerprints in a shard, in the order of the request, a bit each: whether other batches have it, and very many.
 ANSWER = "batch long, shard long, common binary, often binary"
 #: In rows of round -1 the runs of a batch, in the others where the segments of a round lie, in order of shard and fingerprint.
@@ -237,8 +244,11 @@ def request(shards: int, s: Settings):
     def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.each(arrived):
             _, buf, offsets = B.opened(row)
-            parts = requests(fingerprints(buf, offsets, s)[3], shards)
-            yield columns([(k, row["batch"], p.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for k, p in parts], REQUEST)
+            *_, prints, content = fingerprints(buf, offsets, s)
+            every, order = distinct(prints), np.argsort(content)
+            n = np.bincount(np.searchsorted(every, prints[order[np.append(True, content[order[1:]] != content[order[:-1]])[: len(order)]]]), minlength=len(every))
+            parts = requests(every, shards)
+            yield columns([(k, row["batch"], p.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), B.pack(n[np.searchsorted(every, p)].astype(np.uint32))) for k, p in parts], REQUEST)
 
     return run
 
@@ -255,13 +265,15 @@ def answer(s: Settings):
     def run(t: pa.Table) -> pa.Table:
         batch, shard = t.column("batch").to_numpy(), t.column("shard").to_numpy()
         parts = [wide(x.as_py()) for x in t.column("prints")]
-        every, inverse, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        n, at, out = n[inverse], 0, []
+        _, inverse, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        weights = np.concatenate([B.unpack(x.as_py(), np.uint32) for x in t.column("weights")]) if "weights" in t.column_names else np.ones(len(inverse))
+        often = (n >= s.often) & (np.bincount(inverse, weights) >= s.heavy)
+        n, often, at, out = n[inverse], often[inverse], 0, []
         for k, p in enumerate(parts):
-            own = n[at : at + len(p)]
+            own = slice(at, at + len(p))
             at += len(p)
-            if (own > 1).any():
-                out.append((int(batch[k]), int(shard[k]), np.packbits(own > 1).tobytes(), np.packbits(own >= s.often).tobytes()))
+            if (n[own] > 1).any():
+                out.append((int(batch[k]), int(shard[k]), np.packbits(n[own] > 1).tobytes(), np.packbits(often[own]).tobytes()))
         return pa.Table.from_batches([columns(out, ANSWER)])
 
     return run
@@ -278,7 +290,7 @@ def segments(shards: int, s: Settings):
         for row in B.each(arrived):
             ids, buf, offsets = B.opened(row)
             doc = np.array([NO_DOC if x is None else x for x in ids], np.int64)
-            runs = fingerprints(buf, offsets, s)
+            runs = fingerprints(buf, offsets, s)[:4]
             asked = dict(requests(runs[3], shards))
             runs = tuple(x[doc[runs[0]] != NO_DOC] for x in runs)
             text, start, count, prints = runs
@@ -369,6 +381,38 @@ def zstd(b: bytes) -> bytes:
     return B.pack(np.frombuffer(b, np.uint8))
 
 
+def alike(segments: list[bytes], length: int) -> np.ndarray:
+    """Which segments have a string whose hash another string has too. The strings of the rest are in one place only."""
+    text = np.frombuffer(b"".join(segments), np.uint8)
+    sizes = np.array([len(x) for x in segments])
+    n, end = len(text), np.cumsum(sizes)
+    up, down = powers(n + 1)
+    sums = np.zeros(n + 1, U)
+    with np.errstate(over="ignore"):
+        np.cumsum(BYTE64[text] * up[:n], out=sums[1:])
+        key = mix((sums[length:] - sums[:-length]) * down[: n - length + 1])
+    owner = np.repeat(np.arange(len(segments)), sizes)[: len(key)]
+    whole = np.flatnonzero(np.arange(len(key)) + length <= end[owner])
+    key, owner = key[whole], owner[whole]
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    out = np.zeros(len(segments), bool)
+    out[owner[order[1:][same]]] = out[owner[order[:-1][same]]] = True
+    return out
+
+
+def blocks(order: np.ndarray, group: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """``order`` in pieces of about ``most`` bytes; the neighbours of one group stay together."""
+    size = np.cumsum(np.append(0, sizes[order]))
+    edge = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
+    a = 0
+    while a < len(order):
+        later = edge[np.searchsorted(edge, a, "right") :]
+        b = int(later[min(np.searchsorted(size[later], size[a] + most), len(later) - 1)])
+        yield order[a:b]
+        a = b
+
+
 def compare(s: Settings, block: int = 1 << 19):
     """In a shard, the smallest document of each string of each batch's segments."""
 
@@ -395,19 +439,20 @@ def compare(s: Settings, block: int = 1 << 19):
         del known
         _, inverse, n = np.unique(prints, return_inverse=True, return_counts=True)
         rivals = n[inverse] > 1  # else no other segment can have one of the segment's strings
-        found = [None if r else np.full(len(b) - s.length + 1, d) for b, d, r in zip(every, least.tolist(), rivals.tolist(), strict=True)]
+        extent = np.array([len(b) for b in every])
+        strings = extent - s.length + 1
+        begin = np.cumsum(strings) - strings
+        found = np.repeat(least, strings)
         order = np.flatnonzero(rivals)
         order = order[np.argsort(prints[order])]
-        size = np.cumsum([0, *(len(every[k]) for k in order.tolist())])
-        edge = np.append(np.flatnonzero(np.diff(inverse[order], prepend=-1)), len(order))  # strings of one fingerprint stay together
-        a = 0
-        while a < len(order):
-            b = int(edge[np.searchsorted(edge, a, "right") :][np.searchsorted(size[edge[np.searchsorted(edge, a, "right") :]], size[a] + block, "left")]) if size[-1] > size[a] + block else len(order)
-            k = order[a:b]
+        order = np.concatenate([order[:0], *(k[alike([every[i] for i in k.tolist()], s.length)] for k in blocks(order, inverse, extent, block))])
+        for k in blocks(order, inverse, extent, block):
             for i, x in zip(k.tolist(), smallest_documents([every[i] for i in k.tolist()], least[k], s.length), strict=True):
-                found[i] = x
-            a = b
-        out = [repeats(np.concatenate([found[i] for i in own])) for own in rows]
+                found[begin[i] : begin[i] + len(x)] = x
+        out = []
+        for own in rows:
+            n = strings[own]
+            out.append(repeats(found[np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]))
         return pa.table([t.column("batch"), t.column("shard"), pa.array(out, pa.binary())], ["batch", "shard", "least"])
 
     return run
@@ -474,12 +519,13 @@ def dedup(docs: DataFrame, s: Settings = Settings(), texts_too: bool = False, ke
     corpus = B.batched(docs, keep)
     shards = B.shards(corpus, 2 * s.shard)
     parts = partitions(docs)
+    tasks = max(parts, 4 * shards // rounds(shards, s))  # few of a round's shards then share a task
     found = settle(_candidates(corpus, shards, parts, s))
     answers = []
     for k in range(rounds(shards, s)):
         own = found.where(F.col("round") == k).drop("round", "runs")
         sent = corpus.select("batch", "ids", "lengths", "texts").join(own.hint("merge"), "batch").mapInArrow(send(s), SEGMENTS)
-        answers.append(settle(sent.repartition(parts, "shard").groupBy("shard").applyInArrow(compare(s), LEAST)))
+        answers.append(settle(sent.repartition(tasks, "shard").groupBy("shard").applyInArrow(compare(s), LEAST)))
     least = reduce(DataFrame.union, answers).groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("shard", "least"))).alias("parts"))
     per_batch = found.where(F.col("round") == -1).select("batch", "runs").join(least.hint("merge"), "batch")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts_too

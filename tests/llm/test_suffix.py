@@ -117,3 +117,70 @@ def test_answers_take_bits_not_fingerprints():
     bits = lambda b, n: np.unpackbits(np.frombuffer(b, np.uint8), count=n).tolist()
     assert bits(got[0]["common"], 4000) == [1, 1] + [1, 0] * 1999 and bits(got[1]["common"], 2000) == [1] * 2000
     assert not any(bits(got[0]["often"], 4000)) and bits(got[2]["common"], 1) == [1]
+
+
+def test_what_many_documents_have_alike_is_not_split_into_strings(spark):
+    import string
+
+    from siltstone.llm import batches as B
+
+    rng = np.random.default_rng(4)
+    letters = list(string.ascii_letters)
+    page = "".join(rng.choice(letters, 3000))
+    rows = [(k, "".join(rng.choice(letters, 200)) + page) for k in range(12)]
+    corpus = B.batched(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), size=1)
+    sent = lambda s: sum(len(B.unpack(r.counts, np.uint16)) for r in S._candidates(corpus, 4, 4, s).where("round >= 0").select("counts").collect())
+    assert sent(S.Settings(often=2)) < 12 * 3000 / 5
+    assert sent(S.Settings(often=2, heavy=2)) > 12 * 2900  # string by string
+
+
+def test_requests_weigh_fingerprints_by_distinct_segments():
+    import pyarrow as pa
+
+    from siltstone.llm import batches as B
+
+    rng = np.random.default_rng(6)
+    passage = rng.integers(97, 123, 16).astype(np.uint8).tobytes()
+    docs = [rng.integers(65, 91, 80).astype(np.uint8).tobytes() + passage * 6 + bytes(rng.integers(65, 91, 60).astype(np.uint8)) for _ in range(9)]
+    docs += docs[:3]
+    row = {"batch": 1, "ids": list(range(12)), "lengths": B.pack(np.array([len(x) for x in docs])), "texts": B.pack(np.frombuffer(b"".join(docs), np.uint8))}
+    got = [r for b in S.request(3, S.Settings())(iter([pa.RecordBatch.from_pylist([row])])) for r in b.to_pylist()]
+    weight = {p: n for r in got for p, n in zip(S.wide(r["prints"]).tolist(), B.unpack(r["weights"], np.uint32).tolist(), strict=True)}
+    buf, offsets = np.frombuffer(b"".join(docs), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in docs])])
+    want = {}
+    for _, start, count, p, _ in zip(*S.fingerprints(buf, offsets, S.Settings()), strict=True):
+        want.setdefault(int(p), set()).add(buf[start : start + count + 49].tobytes())
+    assert weight == {p: len(x) for p, x in want.items()} and max(weight.values()) > 1
+
+
+@pytest.mark.parametrize("heavy", [2, 1 << 14])
+def test_dedup_by_strings_or_segments_matches_brute_force(spark, heavy):
+    import hashlib
+
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = S.dedup(df, S.Settings(often=2, heavy=heavy)).collect()
+    want = brute(rows, 50)
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted((tuple(r) for r in got), key=key) == sorted(((*w[:4], hashlib.sha256(w[4]).hexdigest()) for w in want), key=key)
+
+
+def test_only_segments_with_recurring_strings_are_sorted(monkeypatch):
+    import pyarrow as pa
+
+    from siltstone.llm import batches as B
+
+    rng = np.random.default_rng(8)
+    prose = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    gram, page = prose(16), prose(90)
+    segments = [prose(34) + gram + prose(34) for _ in range(20)] + [page[:70], page[10:], prose(50) * 2]
+    assert S.alike(segments, 50).tolist() == [False] * 20 + [True] * 3
+    seen = []
+    sort = S.smallest_documents
+    monkeypatch.setattr(S, "smallest_documents", lambda x, *a: seen.extend(x) or sort(x, *a))
+    docs = rng.permutation(len(segments))
+    cells = (B.pack(np.array([len(x) for x in segments], np.uint32)), B.pack(docs.astype(np.int64)), B.pack(np.ones(len(segments), np.uint32)), S.zstd(b"".join(segments)))
+    t = pa.Table.from_batches([S.columns([(1, 2, *cells)], S.SEGMENTS)])
+    got = S.repeated(S.compare(S.Settings(), block=300)(t).column("least")[0].as_py())
+    assert sorted(seen) == sorted(segments[20:])
+    assert got.tolist() == np.concatenate(sort(segments, docs, 50)).tolist()
