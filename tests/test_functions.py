@@ -135,3 +135,14 @@ def test_exact_division_and_quantiles(spark):
     assert df.agg(A.quantile_exact(F.col("a") * 2, 0.5, "int", where=F.col("a") > 1).alias("q")).first().q == 4
     big = spark.createDataFrame([(9007199254740993, 1), (-9223372036854775807, 2), (-7, 2)], "a long, b long")
     assert [r.q for r in big.select(M.div("a", "b").alias("q")).collect()] == [9007199254740993, -4611686018427387903, -3]
+
+
+@pytest.mark.parametrize("name", ["a23_uniq", "a25_uniq_combined", "a27_uniq_hll12", "a28_uniq_theta"])
+def test_no_sketch_for_each_distinct_value(spark, name):
+    import re
+
+    from siltstone.plans import registry
+
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    keys = [k for k, functions in re.findall(r"Aggregate\(keys=\[(.*?)\], functions=\[(.*)", plan) if "approx_count_distinct" in functions or "sketch" in functions]
+    assert keys and all(re.fullmatch(r"l_returnflag#\d+", k) for k in keys), keys
