@@ -137,7 +137,7 @@ def test_exact_division_and_quantiles(spark):
     assert [r.q for r in big.select(M.div("a", "b").alias("q")).collect()] == [9007199254740993, -4611686018427387903, -3]
 
 
-@pytest.mark.parametrize("name", ["a23_uniq", "a25_uniq_combined", "a27_uniq_hll12", "a28_uniq_theta"])
+@pytest.mark.parametrize("name", ["a23_uniq", "a25_uniq_combined", "a26_uniq_combined64", "a27_uniq_hll12", "a28_uniq_theta"])
 def test_no_sketch_for_each_distinct_value(spark, name):
     import re
 
