@@ -146,3 +146,32 @@ def test_no_sketch_for_each_distinct_value(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     keys = [k for k, functions in re.findall(r"Aggregate\(keys=\[(.*?)\], functions=\[(.*)", plan) if "approx_count_distinct" in functions or "sketch" in functions]
     assert keys and all(re.fullmatch(r"l_returnflag#\d+", k) for k in keys), keys
+
+
+def edits(a, b, insert, delete, substitute):
+    row = [j * insert for j in range(len(b) + 1)]
+    for x in a:
+        made = [row[0] + delete]
+        for j, y in enumerate(b):
+            made.append(min(row[j + 1] + delete, row[j] + substitute * (x != y), made[j] + insert))
+        row = made
+    return row[-1]
+
+
+def test_levenshtein_costs_of_many_pairs(spark):
+    import random
+    import time
+
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcñ😀 ") for _ in range(rng.randrange(n)))
+    pairs = [(None, "a"), ("a", None), (None, None), ("", ""), ("", "ab"), ("ab", ""), (text(2500), text(2500)), ("a", text(2500)), (text(2500), ""), ("a" * 40000, "b")]
+    pairs += [(text(12), text(15)) for _ in range(300)]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k long, a string, b string").repartition(3)
+    for costs in ((1, 1, 1), (5, 1, 1), (1, 7, 9), (2, 3, 100), (0, 0, 4)):
+        got = {r.k: r.d for r in df.select("k", S.levenshtein_costs("a", "b", *costs).alias("d")).collect()}
+        assert got == {k: None if a is None or b is None else edits(a, b, *costs) for k, (a, b) in enumerate(pairs)}
+    assert spark.createDataFrame([], "a string").select(S.levenshtein_costs("a", "a", 1, 1, 1)).collect() == []
+    many = spark.range(0, 100000, 1, 4).select(F.sha2(F.col("id").cast("string"), 256).alias("a"))
+    begin = time.time()
+    assert many.agg(F.sum(S.levenshtein_costs("a", F.reverse("a"), 2, 2, 3))).first()[0] > 0
+    assert time.time() - begin < 60  # the array expressions took minutes
